@@ -2,5 +2,149 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
+from lodestone.operators import authors, chunks, graph, python_code, vectors
+
+from . import portable
+from .dialect import load, oracle, plan
+
+QUERIES = {name: plan(sql) for name, sql in portable.SQL.items()}
+ORACLES = {name: oracle(sql) for name, sql in portable.SQL.items()}
+
+
+def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse graph in which depth, direction and type matter."""
+    e = load(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 45")
+    return e.select((F.col("l_suppkey") + 1_000_000).alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("type"))
+
+
+def _anchor(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.min("dst").alias("node"))
+
+
+def graph_rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    query = v.orderBy("vec_id").limit(1)
+    return vectors.anchored_search(v, query, _thin(spark, sf_dir), 16, 2)
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    return vectors.nearest(v, v.orderBy("vec_id").limit(1), 16).select("vec_id", F.round("distance", 6).alias("distance"), F.round(1 / (1 + F.col("distance")), 6).alias("similarity"))
+
+
+def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    return vectors.nearest_per_group(v, v.orderBy("vec_id").limit(1), "label", 3).select("label", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    a, b = v.alias("a"), v.alias("b")
+    x = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).withColumn("c", vectors.cosine(F.col("a.embedding"), F.col("b.embedding")))
+    return x.groupBy(F.col("a.label").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.max("c"), 6).alias("most"), F.count_if(F.col("c") > 0.9).alias("alike"))
+
+
+def bfs_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _thin(spark, sf_dir)
+    return graph.bfs(e, _anchor(e), 3, "both")
+
+
+def bfs_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _thin(spark, sf_dir)
+    return graph.bfs(e, _anchor(e), 2, "both", ["R", "A"])
+
+
+def focus_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _thin(spark, sf_dir)
+    return graph.induced(e, graph.bfs(e, _anchor(e), 2, "both")).select("src", "dst", "type").distinct()
+
+
+def shortest_distance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfs_khop(spark, sf_dir).select("node", F.round(F.exp(F.col("depth") * -0.5), 6).alias("score"))
+
+
+def node_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.importance(_thin(spark, sf_dir))
+
+
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.windows(load(spark, sf_dir, "documents").select("doc_id", "text"), 20, 4).select("doc_id", "start_line", "end_line", F.md5("chunk").alias("chunk_md5"))
+
+
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("b"))
+    return d.join(b, "doc_id").select("doc_id", F.round(tx.jaccard(tx.tokens(F.col("a")), tx.tokens(F.col("b"))), 6).alias("jaccard"))
+
+
+def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    near = vectors.nearest(v, v.orderBy("vec_id").limit(1), 100).select("vec_id", "distance")
+    d = load(spark, sf_dir, "documents")
+    score = 1 / (1 + F.col("distance")) + F.when(F.col("lang") == "en", 0.4).otherwise(0) + F.when(F.col("source") == "src0", 0.3).otherwise(0) + F.when(F.contains("text", F.lit("import")), 0.15).otherwise(0)
+    return d.join(F.broadcast(near), d["doc_id"] == near["vec_id"]).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+def fuzzy_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authors.candidates(load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
+
+
+def fuzzy_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("commits"))
+    return authors.groups(p)
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(https?)://", 1).alias("scheme"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/?#]+(/[^?#]*)", 1).alias("path"))
+
+
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.streaming import events
+
+    return events.counted(load(spark, sf_dir, "events"))
+
+
+_THIN = "SELECT l_suppkey + 1000000 AS src, l_partkey AS dst, l_returnflag AS type FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45"
+
+
+def _hops(depth: int, anchors: str, where: str = "TRUE") -> str:
+    steps = [f"n0 AS (SELECT node, 0 AS depth FROM ({anchors}) q)"]
+    for k in range(1, depth + 1):
+        steps.append(f"n{k} AS (SELECT node, depth FROM n{k - 1} UNION ALL SELECT DISTINCT b.y AS node, {k} AS depth FROM n{k - 1} JOIN b ON b.x = n{k - 1}.node WHERE b.y NOT IN (SELECT node FROM n{k - 1}))")
+    return f"e AS ({_THIN}), b AS (SELECT src AS x, dst AS y FROM e WHERE {where} UNION SELECT dst, src FROM e WHERE {where}), " + ", ".join(steps)
+
+
+_DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2)))"
+_MIN = "SELECT min(dst) AS node FROM e"
+_NEAR = f"SELECT v.vec_id, v.label, {_DIST} AS d FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"
+
+_DATAFRAME = [graph_rag_search, vector_topk, vector_topk_per_label, semantic_pairs, bfs_khop, bfs_types, focus_subgraph, shortest_distance_score, node_importance, chunk_windows, token_jaccard, hybrid_rerank, fuzzy_merge_candidates, fuzzy_merge_groups, json_props, url_parse, window_counts]
+QUERIES |= {f.__name__: f for f in _DATAFRAME}
+QUERIES |= {f"py_{k}": (lambda spark, sf_dir, k=k: python_code.extract(python_code.fixture(spark), k)) for k in python_code.KINDS}
+
+ORACLES |= {
+    "graph_rag_search": f"WITH {_hops(2, f'SELECT vec_id AS node FROM (SELECT * FROM ({_NEAR}) z ORDER BY d, vec_id LIMIT 16) y WHERE vec_id IN (SELECT src FROM e UNION SELECT dst FROM e)')} SELECT node, depth, depth = 0 AS is_anchor FROM n2",
+    "vector_topk": f"SELECT vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS similarity FROM ({_NEAR}) z ORDER BY d, vec_id LIMIT 16",
+    "vector_topk_per_label": f"SELECT label, vec_id, rank, round(d, 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS INTEGER) AS rank FROM ({_NEAR}) z) y WHERE rank <= 3",
+    "semantic_pairs": "SELECT a.label, count(*) AS pairs, round(avg(c), 6) AS mean, round(max(c), 6) AS most, count(*) FILTER (WHERE c > 0.9) AS alike FROM (SELECT a.label, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE ** 2))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: b.embedding[i]::DOUBLE ** 2))) + 1e-8) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label",
+    "bfs_khop": f"WITH {_hops(3, _MIN)} SELECT node, depth FROM n3",
+    "bfs_types": "WITH " + _hops(2, _MIN, "type IN ('R', 'A')") + " SELECT node, depth FROM n2",
+    "focus_subgraph": f"WITH {_hops(2, _MIN)} SELECT DISTINCT src, dst, type FROM e WHERE src IN (SELECT node FROM n2) AND dst IN (SELECT node FROM n2)",
+    "shortest_distance_score": f"WITH {_hops(3, _MIN)} SELECT node, round(exp(depth * -0.5), 6) AS score FROM n3",
+    "node_importance": f"WITH e AS ({_THIN}), u AS (SELECT src AS node, 1 AS o, 0 AS i, type FROM e UNION ALL SELECT dst, 0, 1, type FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming, count(DISTINCT type) AS types, round_even(1.2 * sum(o) + sum(i) + 1.5 * count(DISTINCT type), 3)::DOUBLE AS score FROM u GROUP BY node",
+    "chunk_windows": chunks.ORACLE_SQL,
+    "token_jaccard": "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS b FROM documents d JOIN benchmark b ON doc_id = item_id) SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM t",
+    "hybrid_rerank": f"WITH z AS ({_NEAR} ORDER BY d, vec_id LIMIT 100) SELECT doc_id, round(1 / (1 + d) + CASE WHEN lang = 'en' THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN source = 'src0' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(text, 'import') THEN 0.15::DOUBLE ELSE 0 END, 6) AS score FROM documents JOIN z ON doc_id = vec_id ORDER BY score DESC, doc_id LIMIT 10",
+    "fuzzy_merge_candidates": authors.ORACLE_SQL,
+    "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "url_parse": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM pages",
+    "window_counts": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+}
