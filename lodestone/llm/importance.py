@@ -4,7 +4,7 @@ Bags of hashed n-grams (folded words; shapes of words, alone and in pairs; wheth
 counted in a bounded sample of labelled documents: the target (good, not toxic) and two kinds of raw text to turn away
 (junk; toxic). A document's log weight adds, for either kind, the log ratio of the target's model to that kind's,
 where it is below -MARGIN: over all n-grams against junk, and against toxic text over the distinct n-grams whose counts
-differ significantly, as a few insults stand in an otherwise good text. Weights are raised to ``sharpness``.
+differ significantly and by STRONG, as a few insults stand in an otherwise good text. Weights are raised to ``sharpness``.
 
 Sampling without replacement by weight is a top-k of log weight + Gumbel noise (from a hash of the row, so reruns
 agree). k is the expected number of good documents, the sum of weights capped at 1, so good documents are not thinned
@@ -28,6 +28,8 @@ from .words import Tokens, mix, text_slices
 BUCKETS = 1 << 20
 #: Log odds that a text is good before its n-grams are seen: one n-gram that is there by chance turns nothing away.
 MARGIN = 4.0
+#: Least log ratio of an n-gram that counts as toxic: many weaker ones only tell one language from another.
+STRONG = 3.0
 _SHAPE = np.array([97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)], np.uint64)
 
 
@@ -83,7 +85,8 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float, significant: f
 class Model:
     def __init__(self, counts: np.ndarray):
         self.junk = log_ratio(counts[0, 0], counts[1, 0], 5)
-        self.toxic = log_ratio(counts[0, 1], counts[2, 1], 2, 4)
+        toxic = log_ratio(counts[0, 1], counts[2, 1], 2, 4)
+        self.toxic = np.where(toxic <= -STRONG, toxic, np.float32(0))
 
     def log_weights(self, texts: list[bytes | None]) -> np.ndarray:
         rows, buckets = ngrams(texts)
