@@ -23,6 +23,26 @@ from .words import Tokens, inner, text_slices, windows
 
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("least", "<i8"), ("most", "<i8")])
 _MARK = np.dtype([("h", "<u8"), ("g", "<u8"), ("least", "<i8")])
+
+
+def _packed(x: np.ndarray, most: bool = True) -> bytes:
+    """Column by column; documents take four bytes where all fit, and of ``most`` only whether it is more is kept."""
+    small = not len(x) or bool(x["least"].min() >= 0 and x["least"].max() < 2**32)
+    parts = [x["h"].tobytes(), x["g"].tobytes(), x["least"].astype("<u4" if small else "<i8").tobytes()]
+    if most:
+        parts.append(np.packbits(x["most"] > x["least"]).tobytes())
+    return bytes([small]) + len(x).to_bytes(8, "little") + b"".join(parts)
+
+
+def _unpacked(b: bytes, kind: np.dtype) -> np.ndarray:
+    """``most`` comes back as ``least``, or one more where it was more."""
+    small, n = b[0], int.from_bytes(b[1:9], "little")
+    out, at, size = np.empty(n, kind), 9 + 16 * n, 4 if small else 8
+    out["h"], out["g"] = np.frombuffer(b, "<u8", n, 9), np.frombuffer(b, "<u8", n, 9 + 8 * n)
+    out["least"] = np.frombuffer(b, "<u4" if small else "<i8", n, at)
+    if "most" in kind.names:
+        out["most"] = out["least"] + np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), at + size * n), count=n)
+    return out
 #: Counters of each row of a range's sketch, as a power of two; a range holds about chunk_bytes / 6 windows.
 COUNTERS = 1 << 22
 
@@ -99,7 +119,7 @@ def _exact(window: int, ranges: int) -> Callable:
         all_, cut = all_[order], np.searchsorted(shard[order], np.arange(ranges + 1))
         at = np.flatnonzero(np.diff(cut))
         chunk = data.column("chunk")[0].as_py() if data.num_rows else 0
-        return pa.table({"chunk": pa.array([chunk] * len(at), pa.int64()), "shard": pa.array(at, pa.int64()), "seen": pa.array([all_[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary())})
+        return pa.table({"chunk": pa.array([chunk] * len(at), pa.int64()), "shard": pa.array(at, pa.int64()), "seen": pa.array([_packed(all_[cut[i] : cut[i + 1]]) for i in at], pa.binary())})
 
     return f
 
@@ -117,7 +137,7 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def _first_documents(data: pa.Table) -> pa.Table:
     """Of one hash range: per chunk, the windows that start in a smaller document than one of the chunk's."""
-    blobs = [np.frombuffer(b, _EXACT) for b in data.column("seen").to_pylist()]
+    blobs = [_unpacked(b, _EXACT) for b in data.column("seen").to_pylist()]
     whole = _reduced(np.concatenate(blobs))
     out = []
     for b in blobs:
@@ -126,7 +146,7 @@ def _first_documents(data: pa.Table) -> pa.Table:
         k = least < b["most"]
         y = np.empty(int(k.sum()), _MARK)
         y["h"], y["g"], y["least"] = b["h"][k], b["g"][k], least[k]
-        out.append(y.tobytes())
+        out.append(_packed(y, False))
     return pa.table({"chunk": data.column("chunk"), "marks": pa.array(out, pa.binary())})
 
 
@@ -149,7 +169,7 @@ def _find(among: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
 def _cut(window: int) -> Callable:
     def f(data: pa.Table, replies: pa.Table) -> pa.Table:
         n_words, n_removed, kept = [], [], []
-        marks = np.frombuffer(b"".join(replies.column("marks").to_pylist()), _MARK) if replies.num_rows else np.empty(0, _MARK)
+        marks = np.concatenate([_unpacked(b, _MARK) for b in replies.column("marks").to_pylist()]) if replies.num_rows else np.empty(0, _MARK)
         marks = marks[np.lexsort((marks["g"], marks["h"]))]
         doc, real = _doc_ids(data)
         for first, x, ok, h, g in _parts(data, window, True) if data.num_rows else ():
