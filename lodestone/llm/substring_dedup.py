@@ -25,10 +25,34 @@ _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("least", "<i8"), ("most", "<i8")
 _MARK = np.dtype([("h", "<u8"), ("g", "<u8"), ("least", "<i8")])
 
 
+def _coded(x: np.ndarray) -> bytes:
+    """Sorted 32-bit values as Rice-coded gaps: the quotients in unary, then the ``k`` low bits of each."""
+    gap, n = np.diff(x.astype(np.int64), prepend=0), len(x)
+    k = max(0, int(x[-1] * 0.69 / n).bit_length() - 1)
+    high = gap >> k
+    unary = np.zeros(int(high.sum()) + n, np.uint8)
+    unary[np.cumsum(high + 1) - 1] = 1
+    low = np.unpackbits((gap & ((1 << k) - 1)).astype(">u4").view(np.uint8).reshape(n, 4), axis=1)[:, 32 - k :]
+    return bytes([k]) + n.to_bytes(4, "little") + len(unary).to_bytes(4, "little") + np.packbits(unary).tobytes() + np.packbits(low).tobytes()
+
+
+def _decoded(b: bytes) -> np.ndarray:
+    k, n, m = b[0], int.from_bytes(b[1:5], "little"), int.from_bytes(b[5:9], "little")
+    x = np.frombuffer(b, np.uint8)
+    cut = 9 + -(-m // 8)
+    high = np.diff(np.flatnonzero(np.unpackbits(x[9:cut], count=m)), prepend=-1) - 1
+    low = np.zeros((n, 32), np.uint8)
+    low[:, 32 - k :] = np.unpackbits(x[cut:], count=n * k).reshape(n, k)
+    return np.cumsum(high << k | np.packbits(low, axis=1).view(">u4").ravel().astype(np.int64)).astype(np.uint32)
+
+
 def _packed(x: np.ndarray, most: bool = True) -> bytes:
-    """Column by column; documents take four bytes where all fit, and of ``most`` only whether it is more is kept."""
+    """Column by column; documents take four bytes where all fit, and of ``most`` only whether it is more is kept.
+
+    Without ``most`` the second hash keeps 32 bits: an answer's windows only have to be told apart within a chunk.
+    """
     small = not len(x) or bool(x["least"].min() >= 0 and x["least"].max() < 2**32)
-    parts = [x["h"].tobytes(), x["g"].tobytes(), x["least"].astype("<u4" if small else "<i8").tobytes()]
+    parts = [x["h"].tobytes(), x["g"].astype("<u8" if most else "<u4").tobytes(), x["least"].astype("<u4" if small else "<i8").tobytes()]
     if most:
         parts.append(np.packbits(x["most"] > x["least"]).tobytes())
     return bytes([small]) + len(x).to_bytes(8, "little") + b"".join(parts)
@@ -37,12 +61,15 @@ def _packed(x: np.ndarray, most: bool = True) -> bytes:
 def _unpacked(b: bytes, kind: np.dtype) -> np.ndarray:
     """``most`` comes back as ``least``, or one more where it was more."""
     small, n = b[0], int.from_bytes(b[1:9], "little")
-    out, at, size = np.empty(n, kind), 9 + 16 * n, 4 if small else 8
-    out["h"], out["g"] = np.frombuffer(b, "<u8", n, 9), np.frombuffer(b, "<u8", n, 9 + 8 * n)
+    wide = 8 if "most" in kind.names else 4
+    out, at, size = np.empty(n, kind), 9 + (8 + wide) * n, 4 if small else 8
+    out["h"], out["g"] = np.frombuffer(b, "<u8", n, 9), np.frombuffer(b, f"<u{wide}", n, 9 + 8 * n)
     out["least"] = np.frombuffer(b, "<u4" if small else "<i8", n, at)
     if "most" in kind.names:
         out["most"] = out["least"] + np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), at + size * n), count=n)
     return out
+
+
 #: Counters of each row of a range's sketch, as a power of two; a range holds about chunk_bytes / 6 windows.
 COUNTERS = 1 << 22
 
@@ -72,14 +99,14 @@ def _sketch(window: int, ranges: int) -> Callable:
         low = key.astype(np.uint32)
         at = np.flatnonzero(np.diff(cut))
         chunk = data.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(at), pa.int64()), "shard": pa.array(at, pa.int64()), "cells": pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary())})
+        return pa.table({"chunk": pa.array([chunk] * len(at), pa.int64()), "shard": pa.array(at, pa.int64()), "cells": pa.array([_coded(low[cut[i] : cut[i + 1]]) for i in at], pa.binary())})
 
     return f
 
 
 def _repeated(data: pa.Table) -> pa.Table:
     """Merge the sketches of one hash range; per chunk, the fingerprints estimated at two or more."""
-    blobs = [np.frombuffer(x, np.uint32) for x in data.column("cells").to_pylist()]
+    blobs = [_decoded(x) for x in data.column("cells").to_pylist()]
     rows = [lambda c: c & np.uint32(COUNTERS - 1), lambda c: (c * np.uint32(2654435761)) >> np.uint32(10)]
     keep = [np.ones(len(b), bool) for b in blobs]
     for row in rows:
@@ -90,7 +117,7 @@ def _repeated(data: pa.Table) -> pa.Table:
         keep = [k & (count[row(b)] >= 2) for k, b in zip(keep, blobs, strict=True)]
     out = [b[k & np.concatenate([[True], b[1:] != b[:-1]])] for b, k in zip(blobs, keep, strict=True)]  # sorted: repeats stand together
     at = [i for i, x in enumerate(out) if len(x)]
-    return pa.table({"chunk": data.column("chunk").take(pa.array(at, pa.int64())), "shard": data.column("shard").take(pa.array(at, pa.int64())), "cells": pa.array([out[i].tobytes() for i in at], pa.binary())})
+    return pa.table({"chunk": data.column("chunk").take(pa.array(at, pa.int64())), "shard": data.column("shard").take(pa.array(at, pa.int64())), "cells": pa.array([_coded(out[i]) for i in at], pa.binary())})
 
 
 def _doc_ids(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +130,7 @@ def _exact(window: int, ranges: int) -> Callable:
         out = []
         if data.num_rows and replies.num_rows:
             doc, real = _doc_ids(data)
-            found = np.sort(np.concatenate([np.frombuffer(b, np.uint32).astype(np.uint64) | np.uint64(s) << np.uint64(32) for s, b in zip(replies.column("shard").to_pylist(), replies.column("cells").to_pylist(), strict=True)]))
+            found = np.sort(np.concatenate([_decoded(b).astype(np.uint64) | np.uint64(s) << np.uint64(32) for s, b in zip(replies.column("shard").to_pylist(), replies.column("cells").to_pylist(), strict=True)]))
             for first, x, ok, h, g in _parts(data, window, True):
                 rows = np.repeat(np.arange(len(x.lengths)), x.lengths)[: len(h)] + first
                 ok &= real[rows]
@@ -176,7 +203,7 @@ def _cut(window: int) -> Callable:
             gone = np.zeros(len(x.ids) + 1, np.int64)
             if len(marks) and len(h):
                 at = np.flatnonzero(ok)
-                found = _find(marks, h[at], g[at])
+                found = _find(marks, h[at], g[at] & np.uint64(0xFFFFFFFF))
                 at, found = at[found >= 0], found[found >= 0]
                 rows = np.repeat(np.arange(len(x.lengths)), x.lengths)[at] + first
                 at = at[real[rows] & (marks["least"][found] < doc[rows])]

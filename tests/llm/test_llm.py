@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,18 @@ def test_large_buckets_are_split(spark):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
 
 
+def test_codings_of_windows_are_reversible():
+    draw = np.random.default_rng(3)
+    for n, top in ((1, 1), (1, 2**32), (7, 3), (5_000, 2**32), (5_000, 900)):
+        x = np.sort(draw.integers(0, top, n, dtype=np.uint32))
+        assert (substring_dedup._decoded(substring_dedup._coded(x)) == x).all()
+    for least in (0, -5, 2**40):
+        x = np.zeros(9, substring_dedup._EXACT)
+        x["h"], x["g"], x["least"], x["most"] = draw.integers(0, 2**64, 9, np.uint64), draw.integers(0, 2**64, 9, np.uint64), least, least + np.arange(9) % 2
+        assert (substring_dedup._unpacked(substring_dedup._packed(x), substring_dedup._EXACT) == x).all()
+        assert (substring_dedup._unpacked(substring_dedup._packed(x, False), substring_dedup._MARK)["g"] == x["g"] & np.uint64(2**32 - 1)).all()
+
+
 def test_survival_gives_the_recall():
     assert 0.3 < jaccard_join.survival(4) < jaccard_join.survival(1) < 0.64
 
