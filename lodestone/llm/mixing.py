@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import saved, table
 
 BITS = 40
+#: Up to so many sources, their stretches of the schedule are broadcast.
+FEW_SOURCES = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,15 +50,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return s.select("source", "source_size", F.coalesce(at, F.lit(0.0)).alias("target"))
 
 
-def lines(sizes: DataFrame) -> DataFrame:
-    """``sizes`` with ``begin``, the words before the document on its source's line."""
+def lines(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sizes`` with ``begin``, the words before the document on its source's line, and the columns of ``sources``.
+
+    Documents meet their source's row by source and hash range at once, so a hot source is not one task.
+    """
     cut = sizes.withColumn("range", F.substring("h", 1, 3))
     part = cut.groupBy("source", "range").agg(F.sum("size").alias("n"))
     over = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     part = part.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    also = [c for c in sources.columns if c != "source"]
+    part = part.join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     within = W.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     cut = cut.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return cut.join(part, cut["source"].eqNullSafe(part["s"]) & (cut["range"] == part["r"])).select("doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("begin"))
+    return cut.join(part, cut["source"].eqNullSafe(part["s"]) & (cut["range"] == part["r"])).select("doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("begin"), *also)
 
 
 def slots(spark: SparkSession, goal: DataFrame, block: int) -> DataFrame:
@@ -69,8 +76,10 @@ def slots(spark: SparkSession, goal: DataFrame, block: int) -> DataFrame:
     point = F.conv(F.reverse(F.lpad(F.bin("slot"), BITS, "0")), 2, 10).cast("double") / float(1 << BITS)
     s = spark.range(n).select(F.col("id").alias("slot"), point.alias("point"))
     # Sources per 1/256 of the weights: an equi-join on the cell, so that no task pairs every slot with every source.
+    # There are few cells unless there are very many sources; few are sent whole, so that slots stay where they are.
     cells = g.select("source", "from", "to", F.explode(F.sequence(F.floor(F.col("from") * 256), F.least(F.floor(F.col("to") * 256), F.lit(255)).cast("bigint"))).alias("cell"))
-    s = s.withColumn("cell", F.floor(F.col("point") * 256)).join(cells, "cell").where("point >= `from` AND point < `to`").select("slot", "source")
+    few = g.count() <= FEW_SOURCES
+    s = s.withColumn("cell", F.floor(F.col("point") * 256)).join(F.broadcast(cells) if few else cells, "cell").where("point >= `from` AND point < `to`").select("slot", "source")
     s = s.withColumn("stretch", F.floor(F.col("slot") / 65536))
     part = s.groupBy("source", "stretch").agg(F.count("*").alias("n"))
     part = part.select(F.col("source").alias("s"), F.col("stretch").alias("r"), F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -84,7 +93,7 @@ def mixture(docs: DataFrame, *, block: int = 512, weights: tuple[int, ...] = (1,
     """What each slot of the schedule takes: (slot, rank, source, doc_id, begin, size, round, from, to).
 
     Words ``from`` to ``to`` (exclusive) of the document, on walk ``round`` (from 0) over its source. Also returns the
-    documents (doc_id, source, size, begin) and the sources (source, source_size, target). ``docs`` needs doc_id, text
+    documents (doc_id, source, size, begin and their source's columns) and the sources (source, source_size, target). ``docs`` needs doc_id, text
     and source. A null or empty text has size 0 and is never taken; a null source is a source, the last; rows that
     repeat a doc_id are documents of their own; an empty table gives empty results. Reruns agree: the shuffle is a
     hash of doc_id.
@@ -92,11 +101,11 @@ def mixture(docs: DataFrame, *, block: int = 512, weights: tuple[int, ...] = (1,
     spark = docs.sparkSession
     sizes = saved(sized(docs))
     goal = saved(targets(sizes, weights, most))
-    line = saved(lines(sizes))
     plan = saved(slots(spark, goal, block))
     per = plan.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("slots"))
-    goal_ = goal.join(per, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("gs"), "source_size", F.round("target").cast("bigint").alias("end"), F.ceil(F.round("target") / F.col("slots")).cast("bigint").alias("length"))
-    x = line.where("size > 0").join(goal_, F.col("source").eqNullSafe(F.col("gs")))
+    goal_ = goal.join(per, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", F.round("target").cast("bigint").alias("end"), F.coalesce(F.ceil(F.round("target") / F.col("slots")), F.lit(0)).cast("bigint").alias("length"))
+    line = saved(lines(sizes, goal_))
+    x = line.where("size > 0")
     x = x.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("a", F.col("round") * F.col("source_size") + F.col("begin"))
     x = x.where("a < end AND length > 0").withColumn("b", F.least(F.col("a") + F.col("size"), F.col("end")))
     x = x.withColumn("r", F.explode(F.sequence(F.expr("a div length"), F.expr("(b - 1) div length"))))
@@ -108,12 +117,11 @@ def mixture(docs: DataFrame, *, block: int = 512, weights: tuple[int, ...] = (1,
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) for each row of ``docs``: see ``mixture``."""
-    taken, line, goal = mixture(docs, **parameters)
+    taken, line, _ = mixture(docs, **parameters)
     got = taken.groupBy("doc_id", "source", "begin", "size").agg(F.sum(F.col("to") - F.col("from")).alias("got"))
     got = got.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "source", "begin", "size")})
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("begin") == F.col("_begin")) & (F.col("size") == F.col("_size"))
-    goal = goal.withColumnRenamed("source", "_gs")
-    out = line.join(got, same, "left").join(goal, F.col("source").eqNullSafe(F.col("_gs")))
+    out = line.join(got, same, "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
 
 
