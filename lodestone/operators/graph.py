@@ -44,6 +44,31 @@ def bfs(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out"
     return seen
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+    """(node, neighbour, type): one hop from each of ``nodes`` (node), a row per edge and direction."""
+    e = directed(edges, direction, types).withColumnsRenamed({"src": "node", "dst": "neighbour"})
+    return e.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, longest: int = 5, types: list[str] | None = None) -> DataFrame:
+    """(path): paths along edges from ``sources`` to ``targets`` (node) of at most ``longest`` nodes, none twice.
+
+    A path ends at the first target it meets; edges of several types between two nodes give a path each. A walk back
+    from the targets first tells how far every node is, so only paths that can still arrive in time are carried on.
+    """
+    far = kept(bfs(edges, targets, longest - 1, "in", types)).select(F.col("node").alias("end"), F.col("depth").alias("left"))
+    step = directed(edges, "out", types).distinct().select(F.col("src").alias("at"), F.col("dst").alias("end")).join(far, "end")
+    paths = kept(sources.select(F.col("node").alias("end")).distinct().join(far, "end").select(F.array("end").alias("path"), "end", "left"))
+    done = paths.where("left = 0")
+    for n in range(2, longest + 1):
+        longer = paths.where("left > 0").select("path", F.col("end").alias("at")).join(step, "at").where(~F.array_contains("path", F.col("end")) & (F.col("left") <= longest - n))
+        paths = kept(longer.select(F.concat("path", F.array("end")).alias("path"), "end", "left"))
+        if paths.isEmpty():
+            break
+        done = done.unionByName(paths.where("left = 0"))
+    return done.select("path")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes`` (node)."""
     n = nodes.select("node").distinct()

@@ -58,6 +58,24 @@ def bfs_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(e, _anchor(e), 2, "both", ["R", "A"])
 
 
+def caller_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _thin(spark, sf_dir)
+    return graph.bfs(e, _anchor(e), 5, "in")
+
+
+def node_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _thin(spark, sf_dir)
+    return graph.neighbours(e, e.agg(F.min("src").alias("node")), "both", ["R", "N"])
+
+
+def all_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first part to the last part within four hops, along edges either way, by six nodes and fewer."""
+    e = _thin(spark, sf_dir)
+    last = graph.bfs(e, _anchor(e), 4, "both").where("node < 1000000").agg(F.max("node").alias("node"))
+    paths = graph.simple_paths(graph.directed(e, "both"), _anchor(e), last, 6)
+    return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").cast("bigint").alias("nodes"))
+
+
 def focus_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _thin(spark, sf_dir)
     return graph.induced(e, graph.bfs(e, _anchor(e), 2, "both")).select("src", "dst", "type").distinct()
@@ -126,7 +144,7 @@ _DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::D
 _MIN = "SELECT min(dst) AS node FROM e"
 _NEAR = f"SELECT v.vec_id, v.label, {_DIST} AS d FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"
 
-_DATAFRAME = [graph_rag_search, vector_topk, vector_topk_per_label, semantic_pairs, bfs_khop, bfs_types, focus_subgraph, shortest_distance_score, node_importance, chunk_windows, token_jaccard, hybrid_rerank, fuzzy_merge_candidates, fuzzy_merge_groups, json_props, url_parse, window_counts]
+_DATAFRAME = [graph_rag_search, vector_topk, vector_topk_per_label, semantic_pairs, bfs_khop, bfs_types, caller_chain, node_neighbours, all_simple_paths, focus_subgraph, shortest_distance_score, node_importance, chunk_windows, token_jaccard, hybrid_rerank, fuzzy_merge_candidates, fuzzy_merge_groups, json_props, url_parse, window_counts]
 QUERIES |= {f.__name__: f for f in _DATAFRAME}
 QUERIES |= {f"py_{k}": (lambda spark, sf_dir, k=k: python_code.extract(python_code.fixture(spark), k)) for k in python_code.KINDS}
 
@@ -137,6 +155,9 @@ ORACLES |= {
     "semantic_pairs": "SELECT a.label, count(*) AS pairs, round(avg(c), 6) AS mean, round(max(c), 6) AS most, count(*) FILTER (WHERE c > 0.9) AS alike FROM (SELECT a.label, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE ** 2))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: b.embedding[i]::DOUBLE ** 2))) + 1e-8) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) a GROUP BY a.label",
     "bfs_khop": f"WITH {_hops(3, _MIN)} SELECT node, depth FROM n3",
     "bfs_types": "WITH " + _hops(2, _MIN, "type IN ('R', 'A')") + " SELECT node, depth FROM n2",
+    "caller_chain": f"WITH RECURSIVE e AS ({_THIN}), n AS (SELECT min(dst) AS node, 0 AS depth FROM e UNION SELECT src, depth + 1 FROM n JOIN e ON dst = node WHERE depth < 5) SELECT node, min(depth) AS depth FROM n GROUP BY node",
+    "node_neighbours": f"WITH e AS ({_THIN}), a AS (SELECT min(src) AS node FROM e) SELECT node, dst AS neighbour, type FROM e JOIN a ON src = node WHERE type IN ('R', 'N') UNION ALL SELECT node, src, type FROM e JOIN a ON dst = node WHERE type IN ('R', 'N')",
+    "all_simple_paths": f"WITH RECURSIVE {_hops(4, _MIN)}, g AS (SELECT DISTINCT * FROM (SELECT src AS x, dst AS y, type FROM e UNION ALL SELECT dst, src, type FROM e) u), goal AS (SELECT max(node) AS goal FROM n4 WHERE node < 1000000), p AS (SELECT [node] AS path FROM ({_MIN}) m UNION ALL SELECT list_append(path, y) FROM p JOIN g ON x = path[len(path)] JOIN goal ON path[len(path)] <> goal WHERE len(path) < 6 AND NOT list_contains(path, y)) SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS nodes FROM p JOIN goal ON path[len(path)] = goal",
     "focus_subgraph": f"WITH {_hops(2, _MIN)} SELECT DISTINCT src, dst, type FROM e WHERE src IN (SELECT node FROM n2) AND dst IN (SELECT node FROM n2)",
     "shortest_distance_score": f"WITH {_hops(3, _MIN)} SELECT node, round(exp(depth * -0.5), 6) AS score FROM n3",
     "node_importance": f"WITH e AS ({_THIN}), u AS (SELECT src AS node, 1 AS o, 0 AS i, type FROM e UNION ALL SELECT dst, 0, 1, type FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming, count(DISTINCT type) AS types, round_even(1.2 * sum(o) + sum(i) + 1.5 * count(DISTINCT type), 3)::DOUBLE AS score FROM u GROUP BY node",

@@ -51,6 +51,17 @@ def test_bfs_on_a_cycle(spark, cyclic):
     assert len(rows(graph.induced(cyclic, graph.bfs(cyclic, at, 1)))) == 1
 
 
+def test_paths_and_neighbours(spark, cyclic):
+    node = lambda *x: spark.createDataFrame([(v,) for v in x], "node string")
+    more = cyclic.union(spark.createDataFrame([("a", "c", "y"), ("b", "c", "z")], "src string, dst string, type string"))
+    path = lambda *a, **k: sorted("".join(r.path) for r in graph.simple_paths(more, *a, **k).collect())
+    assert path(node("d"), node("c")) == ["dabc", "dabc", "dac"]
+    assert path(node("d"), node("c"), 3) == ["dac"]
+    assert path(node("d"), node("c"), types=["x"]) == ["dabc"]
+    assert path(node("a"), node("a")) == ["a"] and path(node("a"), node("f")) == []
+    assert rows(graph.neighbours(cyclic, node("a", "none"), "both")) == [("a", "b", "x"), ("a", "c", "y"), ("a", "d", "x")]
+
+
 def test_first_edges_keep_the_first_properties(spark):
     e = spark.createDataFrame([("a", "b", "x", 2, "late"), ("a", "b", "x", 1, "early")], "src string, dst string, type string, ord int, note string")
     assert rows(graph.first_edges(e, ["ord"])) == [("a", "b", "x", 1, "early")]
