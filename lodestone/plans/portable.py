@@ -98,7 +98,7 @@ SQL = {
     "percentile_nearest_rank": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {events})
         SELECT event_type, max(CASE WHEN i = least(CAST(floor(n * 50 / 100) AS BIGINT), n - 1) THEN value END) AS p50, max(CASE WHEN i = least(CAST(floor(n * 95 / 100) AS BIGINT), n - 1) THEN value END) AS p95 FROM r GROUP BY event_type""",
     "lang_distribution": "SELECT lang, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM {documents} GROUP BY lang",
-    "dominant_lang": "SELECT source, max_by(lang, n * 1000 - length(lang)) AS lang FROM (SELECT source, lang, count(*) AS n FROM {documents} WHERE lang IS NOT NULL GROUP BY source, lang) t GROUP BY source",
+    "dominant_lang": "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM {documents} WHERE lang IS NOT NULL GROUP BY source, lang) t WHERE r = 1",
     "exact_dedup_docs": "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY md5(text)",
     "duplicate_names": "SELECT p_name, count(DISTINCT p_brand) AS files FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1",
     "keyword_match_symbols": """WITH k AS (SELECT DISTINCT substr(p_name, 1, 4) AS keyword FROM {part} WHERE p_partkey <= 20), s AS (SELECT DISTINCT p_name FROM {part})
