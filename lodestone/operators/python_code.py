@@ -17,6 +17,9 @@ KINDS = {
     "calls": "path string, caller string, callee string, line int",
     "dataflow": "path string, func string, var string, line int, role string, type string",
     "async": "path string, pattern string, name string, line int",
+    "bases": "path string, scope string, base string, ord int",
+    "call_sites": "path string, func string, callee string, line int, ord int, args array<string>, keywords array<struct<name: string,expr: string>>, assigned_to string",
+    "returns": "path string, func string, line int, expr string",
 }
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _FORMS = {ast.List: "list", ast.Dict: "dict", ast.Set: "set", ast.Tuple: "tuple"}
@@ -109,7 +112,33 @@ def _async(path: str, tree: ast.Module) -> Iterator[tuple]:
                 yield path, "dispatch", n, node.lineno
 
 
-_ROWS = {"chunks": _chunks, "symbols": _symbols, "calls": _calls, "dataflow": _dataflow, "async": _async}
+def _bases(path: str, tree: ast.Module) -> Iterator[tuple]:
+    for node, scopes, _, _ in _scoped(tree):
+        if isinstance(node, ast.ClassDef):
+            for k, b in enumerate(node.bases):
+                if name := _name(b):
+                    yield path, ":".join((path, *scopes, node.name)), name, k
+
+
+def _call_sites(path: str, tree: ast.Module) -> Iterator[tuple]:
+    targets = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.targets[0], ast.Name):
+            targets |= {id(c): node.targets[0].id for c in ast.walk(node.value) if isinstance(c, ast.Call)}
+    k = 0
+    for node, _, _, func in _scoped(tree):
+        if isinstance(node, ast.Call) and func and (callee := _name(node.func)):
+            yield path, func, callee, node.lineno, k, [ast.unparse(a) for a in node.args], [(w.arg, ast.unparse(w.value)) for w in node.keywords if w.arg], targets.get(id(node))
+            k += 1
+
+
+def _returns(path: str, tree: ast.Module) -> Iterator[tuple]:
+    for node, _, _, func in _scoped(tree):
+        if isinstance(node, ast.Return) and func and node.value is not None:
+            yield path, func, node.lineno, ast.unparse(node.value)
+
+
+_ROWS = {"chunks": _chunks, "symbols": _symbols, "calls": _calls, "dataflow": _dataflow, "async": _async, "bases": _bases, "call_sites": _call_sites, "returns": _returns}
 
 
 def _rows(kind: str) -> Callable:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import authors, chunks, graph, python_code, vectors
 
-from . import portable
+from . import code_queries, portable
 from .dialect import load, oracle, plan
 
 QUERIES = {name: plan(sql) for name, sql in portable.SQL.items()}
@@ -99,14 +99,6 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(b, "doc_id").select("doc_id", F.round(tx.jaccard(tx.tokens(F.col("a")), tx.tokens(F.col("b"))), 6).alias("jaccard"))
 
 
-def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = load(spark, sf_dir, "embeddings")
-    near = vectors.nearest(v, v.orderBy("vec_id").limit(1), 100).select("vec_id", "distance")
-    d = load(spark, sf_dir, "documents")
-    score = 1 / (1 + F.col("distance")) + F.when(F.col("lang") == "en", 0.4).otherwise(0) + F.when(F.col("source") == "src0", 0.3).otherwise(0) + F.when(F.contains("text", F.lit("import")), 0.15).otherwise(0)
-    return d.join(F.broadcast(near), d["doc_id"] == near["vec_id"]).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
-
-
 def fuzzy_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authors.candidates(load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
 
@@ -144,7 +136,7 @@ _DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::D
 _MIN = "SELECT min(dst) AS node FROM e"
 _NEAR = f"SELECT v.vec_id, v.label, {_DIST} AS d FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"
 
-_DATAFRAME = [graph_rag_search, vector_topk, vector_topk_per_label, semantic_pairs, bfs_khop, bfs_types, caller_chain, node_neighbours, all_simple_paths, focus_subgraph, shortest_distance_score, node_importance, chunk_windows, token_jaccard, hybrid_rerank, fuzzy_merge_candidates, fuzzy_merge_groups, json_props, url_parse, window_counts]
+_DATAFRAME = [graph_rag_search, vector_topk, vector_topk_per_label, semantic_pairs, bfs_khop, bfs_types, caller_chain, node_neighbours, all_simple_paths, focus_subgraph, shortest_distance_score, node_importance, chunk_windows, token_jaccard, fuzzy_merge_candidates, fuzzy_merge_groups, json_props, url_parse, window_counts]
 QUERIES |= {f.__name__: f for f in _DATAFRAME}
 QUERIES |= {f"py_{k}": (lambda spark, sf_dir, k=k: python_code.extract(python_code.fixture(spark), k)) for k in python_code.KINDS}
 
@@ -163,9 +155,11 @@ ORACLES |= {
     "node_importance": f"WITH e AS ({_THIN}), u AS (SELECT src AS node, 1 AS o, 0 AS i, type FROM e UNION ALL SELECT dst, 0, 1, type FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming, count(DISTINCT type) AS types, round_even(1.2 * sum(o) + sum(i) + 1.5 * count(DISTINCT type), 3)::DOUBLE AS score FROM u GROUP BY node",
     "chunk_windows": chunks.ORACLE_SQL,
     "token_jaccard": "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS b FROM documents d JOIN benchmark b ON doc_id = item_id) SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM t",
-    "hybrid_rerank": f"WITH z AS ({_NEAR} ORDER BY d, vec_id LIMIT 100) SELECT doc_id, round(1 / (1 + d) + CASE WHEN lang = 'en' THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN source = 'src0' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(text, 'import') THEN 0.15::DOUBLE ELSE 0 END, 6) AS score FROM documents JOIN z ON doc_id = vec_id ORDER BY score DESC, doc_id LIMIT 10",
     "fuzzy_merge_candidates": authors.ORACLE_SQL,
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "url_parse": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM pages",
     "window_counts": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+QUERIES |= code_queries.QUERIES
+ORACLES |= code_queries.ORACLES

@@ -103,9 +103,6 @@ SQL = {
     "duplicate_names": "SELECT p_name, count(DISTINCT p_brand) AS files FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1",
     "keyword_match_symbols": """WITH k AS (SELECT DISTINCT substr(p_name, 1, 4) AS keyword FROM {part} WHERE p_partkey <= 20), s AS (SELECT DISTINCT p_name FROM {part})
         SELECT keyword, p_name, CASE WHEN p_name = keyword THEN 1.0 ELSE round(length(keyword) * 1.0 / length(p_name), 6) END AS confidence FROM s JOIN k ON substr(s.p_name, 1, 4) = k.keyword""",
-    "contribution_query_flag": "SELECT conv_id, turn, RC(text, '(?i)stats?|git|commit|author|contribut') > 0 AS is_contribution FROM {conversations}",
-    "query_intent": """SELECT conv_id, turn, CASE WHEN RC(text, '(?i)\\b(where|find|locate)\\b') > 0 THEN 'location' WHEN RC(text, '(?i)\\b(call|calls|called)\\b') > 0 THEN 'call_chain'
-        WHEN RC(text, '(?i)\\b(how|explain|why)\\b') > 0 THEN 'explanation' ELSE 'custom' END AS intent FROM {conversations}""",
     "scan_filter": """SELECT page_id, url FROM {pages} WHERE length(html) <= 1500000 AND RC(url, '/(de|fr)/') > 0 AND url NOT LIKE '%#top'""",
     "priority_order": "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 0 WHEN url LIKE '%utm_source%' THEN 1 ELSE 2 END AS priority, length(html) AS size FROM {pages}",
     "api_rows": "SELECT doc_id, coalesce(lang, '') AS lang, substr(text, 1, 2000) AS text FROM {documents}",
