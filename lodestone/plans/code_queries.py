@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunks, graph, knowledge, python_code, questions, ranking, vectors
+from lodestone.operators import chunks, file_stats, graph, knowledge, python_code, questions, ranking, vectors
 
 from .dialect import load
 
@@ -114,7 +114,18 @@ def py_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.build(python_code.fixture(spark))[1]
 
 
-QUERIES = {f.__name__: f for f in [query_intent, query_constraints, query_filters, query_keywords, query_symbols, contribution_query_flag, chunk_boundaries, hybrid_rerank, unified_rank, symbol_driven_rank, boot_chain, preferred_path, depth_first, cycle_roots, cyclic_part, py_graph_nodes, py_graph_edges]}
+def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python files: words of any language count where they look like its keywords."""
+    d = load(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+    return file_stats.metrics(d).select("path", "loc", "loc_code", "loc_blank", "cyclomatic_complexity", "num_functions", "num_imports")
+
+
+def naming_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part")
+    return file_stats.naming_violations(p.select(F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.lit("java").alias("language"))).groupBy("kind", "expected", "actual").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in [query_intent, query_constraints, query_filters, query_keywords, query_symbols, contribution_query_flag, chunk_boundaries, hybrid_rerank, unified_rank, symbol_driven_rank, boot_chain, preferred_path, depth_first, cycle_roots, cyclic_part, py_graph_nodes, py_graph_edges, file_metrics, naming_violations]}
 
 
 def _re2(patterns: list[str]) -> str:
@@ -182,6 +193,11 @@ ORACLES = {
     "query_keywords": _pick({"keywords": f"array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '" + _re2([r"\w+"]) + f"')), lambda w: w IN ({_WORDS}))), ',')"}, "conversations"),
     "contribution_query_flag": _pick({"is_contribution": f"coalesce(regexp_matches(lower(text), '{_re2(questions.CONTRIBUTION)}'), FALSE)"}, "conversations"),
     "chunk_boundaries": chunks.SPLIT_SQL,
+    "file_metrics": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT *, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS lines FROM d)
+        SELECT doc_id || '.py' AS path, CAST(len(lines) AS INTEGER) AS loc, len(list_filter(lines, lambda x: x <> '' AND NOT starts_with(x, '#'))) AS loc_code, len(list_filter(lines, lambda x: x = '')) AS loc_blank,
+        1 + len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+'), lambda w: w IN ('if', 'elif', 'else', 'for', 'while', 'except', 'finally', 'and', 'or', 'with'))) AS cyclomatic_complexity,
+        len(regexp_extract_all(text, '(?m)^\s*def\s+\w+\s*\(')) AS num_functions, len(regexp_extract_all(text, '(?m)^\s*(?:import|from)\s+')) AS num_imports FROM l""",
+    "naming_violations": "SELECT 'function' AS kind, 'camelCase' AS expected, CASE WHEN regexp_matches(substr(p_name, 2), '[A-Z]') THEN 'camelCase' ELSE 'snake_case' END AS actual, count(*) AS n FROM part WHERE NOT starts_with(p_name, '_') AND NOT regexp_matches(p_name, '^[a-z][a-zA-Z0-9]*$') GROUP BY ALL",
     "hybrid_rerank": f"WITH {_CANDIDATES} SELECT doc_id, round({_HYBRID}, 6) AS score FROM c ORDER BY score DESC, doc_id LIMIT 10",
     "boot_chain": f"""WITH {_E}, u AS (SELECT DISTINCT src, dst FROM e), o AS (SELECT src AS node, count(*) AS callees FROM u GROUP BY src), i AS (SELECT dst AS node, count(*) AS callers FROM u GROUP BY dst),
         entries AS (SELECT node FROM o LEFT JOIN i USING (node) ORDER BY least(callees, 5) - least(coalesce(callers, 0), 3) DESC, coalesce(callers, 0) DESC, callees, node DESC LIMIT 5), {_levels(4)}
