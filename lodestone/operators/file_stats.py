@@ -120,13 +120,16 @@ def _counts(text: Column, patterns: dict[str, list[str]]) -> dict:
     return out
 
 
-def _word(w: str) -> str:
-    return rf"\b{w}\b" if w[0].isalpha() or w == "_" else "".join("\\" + c for c in w)
+def _decisions(items: str) -> str:
+    """One alternation: words after one look for a boundary, then operators."""
+    words = [w for w in items.split() if w[0].isalpha() or w == "_"]
+    signs = ["".join("\\" + c for c in w) for w in items.split() if w not in words]
+    return "|".join([rf"\b(?:{'|'.join(words)})\b", *signs])
 
 
 def complexity(lang: Column, text: Column) -> Column:
     """1 and the decision words and operators of the language."""
-    return 1 + _by_language(lang, _counts(text, {k: ["|".join(map(_word, v.split()))] for k, v in DECISIONS.items()}), 0)
+    return 1 + _by_language(lang, _counts(text, {k: [_decisions(v)] for k, v in DECISIONS.items()}), 0)
 
 
 def code_lines(lang: Column, lines: Column) -> Column:
@@ -186,7 +189,7 @@ def average_function_length(lang: Column, text: Column) -> Column:
 def metrics(files: DataFrame) -> DataFrame:
     """(path, language, fifteen metrics) of the files of an analysed language in ``files`` (path, content)."""
     x = files.select("path", language(F.col("path")).alias("language"), F.coalesce("content", F.lit("")).alias("_t")).where("language IS NOT NULL")
-    x = x.withColumn("_l", F.transform(F.split("_t", "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")))
+    x = x.withColumn("_l", F.transform(F.split("_t", "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s++|(?<!\s)\s++$", "")))
     lang, text, lines = F.col("language"), F.col("_t"), F.col("_l")
     functions = _by_language(lang, _counts(text, FUNCTIONS), 0)
     imports = _by_language(lang, _counts(text, IMPORTS), 0)
