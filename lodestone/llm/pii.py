@@ -2,9 +2,9 @@
 
 Addresses and numbers found by pattern are the protected entities. Words within ``reach`` words of a mention are
 candidate terms. Over the corpus, a term is weighed by how strongly it gives an entity away: the posterior p(entity |
-term), from the distinct contexts (so that copies count once) that show both, over the documents with the term, and
-its pointwise mutual information with the entity in bits. Terms at or above both thresholds, with enough support, are
-spans of kind ``term`` wherever they stand near that entity; sanitising replaces spans by their kind.
+term), from the texts that show both, over the texts with the term, and its pointwise mutual information with the entity
+in bits. All counts are of distinct texts, so that copies count once. Terms at or above both thresholds, with enough
+support, are spans of kind ``term`` wherever they stand near that entity; sanitising replaces spans by their kind.
 
 Document frequencies cover the whole corpus: a fixed-size filter of the candidates only spares counting other words.
 """
@@ -90,8 +90,8 @@ def _value(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{text}") - 2**63
 
 
-_SCAN = "doc_id bigint, uid bigint, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity: bigint, context: bigint, term: string, start: int, stop: int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+_SCAN = "doc_id bigint, uid bigint, text_hash bigint, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity: bigint, term: string, start: int, stop: int>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def _scan(reach: int) -> Callable:
@@ -109,10 +109,9 @@ def _scan(reach: int) -> Callable:
                 for a, b, kind in spans:
                     entity = _value(kind, text[a:b])
                     words = [(s, e) for s, e in _around(text, a, b, reach) if not any(s < y and x < e for x, y, _ in spans)]
-                    context = xxhash.xxh3_64_intdigest("\n".join(text[s:e].lower() for s, e in words)) - 2**63
-                    rows += [{"entity": entity, "context": context, "term": text[s:e].lower(), "start": s, "stop": e} for s, e in words]
+                    rows += [{"entity": entity, "term": text[s:e].lower(), "start": s, "stop": e} for s, e in words]
                 near.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, _NEAR)], names=["doc_id", "uid", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, _NEAR)], names=["doc_id", "uid", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
 
     return f
 
@@ -121,22 +120,33 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _frequencies(held: Bloom) -> Callable:
+def _frequencies(held: Bloom, copied: Bloom) -> Callable:
+    """(term, text_hash, n): the texts of a batch that hold a term, as one number where no copy of them can be elsewhere,
+    and by text (n = 1) where ``copied`` may hold it."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
             found: dict[str, int] = {}
-            for raw in as_bytes(batch.column("text")):
+            again: dict[int, list[str]] = {}
+            hashes = batch.column("text_hash").to_numpy()
+            for raw, h, more in zip(as_bytes(batch.column("text")), hashes.tolist(), copied.may_hold(hashes.view(np.uint64)).tolist(), strict=True):
+                if h in again:
+                    continue
                 words = set(_WORD.findall((raw or b"").decode("utf-8", "replace").lower()))
                 if new := [w for w in words if w not in known]:
                     if len(known) > 500_000:
                         known.clear()
                         new = list(words)
                     known |= zip(new, held.may_hold(np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)).tolist(), strict=True)
+                if more:
+                    again[h] = [w for w in words if known[w]]
+                    continue
                 for w in words:
                     if known[w]:
                         found[w] = found.get(w, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+            each = [(w, h) for h, words in again.items() for w in words]
+            yield pa.RecordBatch.from_pydict({"term": pa.array([*found, *(w for w, _ in each)], pa.string()), "text_hash": pa.array([None] * len(found) + [h for _, h in each], pa.int64()), "n": pa.array([*found.values(), *(1 for _ in each)], pa.int64())})
 
     return f
 
@@ -153,20 +163,21 @@ def _term_hashes(terms: DataFrame) -> DataFrame:
 
 
 def _with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.xxhash64(F.col("doc_id"), F.col("text")))
+    return docs.withColumns({"uid": F.xxhash64(F.col("doc_id"), F.col("text")), "text_hash": F.xxhash64("text")})
 
 
-def disclosures(near: DataFrame, docs: DataFrame, *, posterior: float, bits: float, support: int) -> DataFrame:
-    """(entity, term) that exceed the thresholds; ``near`` has entity, context, term."""
-    pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = saved(pairs)
+def disclosures(near: DataFrame, docs: DataFrame, copies: DataFrame, *, posterior: float, bits: float, support: int) -> DataFrame:
+    """(entity, term) that exceed the thresholds; ``near`` has text_hash, entity, term, and ``copies`` the number ``c`` of
+    rows of every text_hash. All counts are of distinct texts."""
+    pairs = saved(near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
     held = bloom_of(_term_hashes(pairs.select("term").distinct()))
-    n = docs.count()
+    n = copies.count()
     some = docs if held.bits.any() else docs.limit(0)  # no candidate: no term to count
-    counts = some.select("text").mapInArrow(_frequencies(held), "term string, n long").groupBy("term").agg(F.sum("n").alias("having"))
-    entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    counts = some.select("text", "text_hash").mapInArrow(_frequencies(held, bloom_of(copies.where("c > 1").select("text_hash"))), "term string, text_hash bigint, n long")
+    counts = counts.groupBy("term", "text_hash").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("having"))
+    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     x = pairs.join(counts, "term").join(entities, "entity")
-    given = F.least(F.col("both") / F.col("having"), F.lit(1.0))
+    given = F.col("both") / F.col("having")
     return x.where((given >= posterior) & (F.log2(given * n / F.col("of_entity")) >= bits)).select("entity", "term")
 
 
@@ -174,14 +185,14 @@ def find(docs: DataFrame, *, reach: int = 8, posterior: float = 0.2, bits: float
     """For each row of ``docs`` (doc_id, text): doc_id, uid (of the row's id and text), the counts by kind, ``base``
     (base spans) and ``spans`` (all spans), as ``kind:start:end`` by start, then kind.
 
-    Null and empty texts have no spans. Repeated rows have the same spans each. Copies of one context are one piece of
+    Null and empty texts have no spans. Repeated rows have the same spans each. Copies of one text are one piece of
     evidence. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     docs = _with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     scan = saved(docs.mapInArrow(_scan(reach), _SCAN))
-    near = scan.where(F.size("near") > 0).select("uid", F.inline("near"))
-    told = disclosures(near, docs, posterior=posterior, bits=bits, support=support)
+    near = scan.where(F.size("near") > 0).select("uid", "text_hash", F.inline("near"))
+    told = disclosures(near, docs, saved(scan.groupBy("text_hash").agg(F.count("*").alias("c"))), posterior=posterior, bits=bits, support=support)
     more = near.join(told, ["entity", "term"]).select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     both = scan.join(more.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left")
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("stop")))

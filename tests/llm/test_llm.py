@@ -216,6 +216,16 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in clean[100] and "z@mail" not in clean[100] and "<email>" in clean[100] and clean[0] == filler[0]
 
 
+def test_copies_hide_no_disclosing_term(spark):
+    """One of the texts that give an entity away, or one that doesn't mention it, has many copies."""
+    filler = [f"the report of day {i} was long and dull, said one" for i in range(100)]
+    told = [f"note {'abcdefgh'[i]}x from Zorblax the writer at z@mail.org about {'qrstuvwx'[i]}y" for i in range(5)]
+    for more in (told[:1], ["hello Zorblax"]):
+        docs = spark.createDataFrame(list(enumerate(told + more * 99 + filler)), "doc_id long, text string")
+        out = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+        assert all("term:13:20" in out[i] for i in range(5)) and not any("term" in out[i] for i in range(104, 204))
+
+
 def test_sketch_loses_no_window():
     import pyarrow as pa
 
