@@ -1,10 +1,11 @@
 """PII: pattern detectors, then information-theoretic sanitisation by corpus co-occurrence.
 
-Addresses and numbers found by pattern are the protected entities. Words within ``reach`` words of a mention are
-candidate terms. Over the corpus, a term is weighed by how strongly it gives an entity away: the posterior p(entity |
-term), from the texts that show both, over the texts with the term, and its pointwise mutual information with the entity
-in bits. All counts are of distinct texts, so that copies count once. Terms at or above both thresholds, with enough
-support, are spans of kind ``term`` wherever they stand near that entity; sanitising replaces spans by their kind.
+Addresses and numbers found by pattern are the protected entities. Every word of a text that mentions one, outside the
+spans found by pattern, is a candidate term. Over the corpus, a term is weighed by how strongly it gives an entity away:
+the posterior p(entity | term), from the texts that show both, over the texts with the term, and its pointwise mutual
+information with the entity in bits. All counts are of distinct texts, so that copies count once. Terms at or above both
+thresholds, with enough support, are spans of kind ``term`` wherever they stand in a text that mentions that entity;
+sanitising replaces spans by their kind. Texts that don't mention the entity keep the term.
 
 Document frequencies cover the whole corpus: a fixed-size filter of the candidates only spares counting other words.
 """
@@ -76,12 +77,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _around(text: str, begin: int, end: int, reach: int) -> list[tuple[int, int]]:
-    """Word spans next to a mention, at most ``reach`` on either side; the window read is wide, but bounded."""
-    wide = 64 * reach
-    left = [m.span() for m in _WORD.finditer(text, max(0, begin - wide), begin)]
-    right = [m.span() for m in _WORD.finditer(text, end, min(len(text), end + wide))]
-    return left[-reach:] + right[:reach]
+def _outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Word spans that overlap no base span (``spans``, by start)."""
+    k = covered = 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(spans) and spans[k][0] < e:
+            covered = max(covered, spans[k][1])
+            k += 1
+        if covered <= s:
+            yield s, e
+
+
+def _words(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    found = {text[s:e] for s, e in _outside(text, spans)} if spans else set(_WORD.findall(text))
+    return {w.lower() for w in found}
 
 
 def _value(kind: str, text: str) -> int:
@@ -90,30 +100,23 @@ def _value(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{text}") - 2**63
 
 
-_SCAN = "doc_id bigint, uid bigint, text_hash bigint, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity: bigint, term: string, start: int, stop: int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+_SCAN = "doc_id bigint, uid bigint, text_hash bigint, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>, words string"
 
 
-def _scan(reach: int) -> Callable:
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: list[list[int]] = [[], [], [], []]
-            base, near = [], []
-            for raw in as_bytes(batch.column("text")):
-                text = (raw or b"").decode("utf-8", "replace")
-                spans = base_spans(text)
-                for i, k in enumerate(KINDS[:4]):
-                    counts[i].append(sum(s[2] == k for s in spans))
-                base.append(joined(spans))
-                rows = []
-                for a, b, kind in spans:
-                    entity = _value(kind, text[a:b])
-                    words = [(s, e) for s, e in _around(text, a, b, reach) if not any(s < y and x < e for x, y, _ in spans)]
-                    rows += [{"entity": entity, "term": text[s:e].lower(), "start": s, "stop": e} for s, e in words]
-                near.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, _NEAR)], names=["doc_id", "uid", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
-
-    return f
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans of each text, and of one with any: its entities and its words, a line each."""
+    for batch in batches:
+        counts: list[list[int]] = [[], [], [], []]
+        base, entities, words = [], [], []
+        for raw in as_bytes(batch.column("text")):
+            text = (raw or b"").decode("utf-8", "replace")
+            spans = base_spans(text)
+            for i, k in enumerate(KINDS[:4]):
+                counts[i].append(sum(s[2] == k for s in spans))
+            base.append(joined(spans))
+            entities.append(sorted({_value(kind, text[a:b]) for a, b, kind in spans}))
+            words.append("\n".join(_words(text, spans)) if spans else "")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.string())], names=["doc_id", "uid", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"])
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -133,7 +136,8 @@ def _frequencies(held: Bloom, copied: Bloom) -> Callable:
             for raw, h, more in zip(as_bytes(batch.column("text")), hashes.tolist(), copied.may_hold(hashes.view(np.uint64)).tolist(), strict=True):
                 if h in again:
                     continue
-                words = set(_WORD.findall((raw or b"").decode("utf-8", "replace").lower()))
+                text = (raw or b"").decode("utf-8", "replace")
+                words = _words(text, base_spans(text))
                 if new := [w for w in words if w not in known]:
                     if len(known) > 500_000:
                         known.clear()
@@ -151,6 +155,27 @@ def _frequencies(held: Bloom, copied: Bloom) -> Callable:
     return f
 
 
+def _places(texts: Bloom, terms: Bloom) -> Callable:
+    """(uid, text_hash, term, start, stop): all occurrences of the terms in the texts that the filters may hold."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("text_hash").to_numpy()
+            at = np.flatnonzero(texts.may_hold(hashes.view(np.uint64)))
+            for u, h, raw in zip(batch.column("uid").to_numpy()[at].tolist(), hashes[at].tolist(), as_bytes(batch.column("text").take(pa.array(at))), strict=True):
+                text = (raw or b"").decode("utf-8", "replace")
+                spans = list(_outside(text, base_spans(text)))
+                words = [text[s:e].lower() for s, e in spans]
+                names = list(set(words))
+                ok = set(np.array(names, object)[terms.may_hold(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))])
+                rows = [(w, s, e) for w, (s, e) in zip(words, spans, strict=True) if w in ok]
+                if rows:
+                    w, s, e = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"uid": pa.array([u] * len(w), pa.int64()), "text_hash": pa.array([h] * len(w), pa.int64()), "term": pa.array(w, pa.string()), "start": pa.array(s, pa.int32()), "stop": pa.array(e, pa.int32())})
+
+    return f
+
+
 def _term_hashes(terms: DataFrame) -> DataFrame:
     """The hash that ``_frequencies`` looks up, of the only column."""
 
@@ -166,22 +191,31 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"uid": F.xxhash64(F.col("doc_id"), F.col("text")), "text_hash": F.xxhash64("text")})
 
 
-def disclosures(near: DataFrame, docs: DataFrame, copies: DataFrame, *, posterior: float, bits: float, support: int) -> DataFrame:
-    """(entity, term) that exceed the thresholds; ``near`` has text_hash, entity, term, and ``copies`` the number ``c`` of
-    rows of every text_hash. All counts are of distinct texts."""
-    pairs = saved(near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    held = bloom_of(_term_hashes(pairs.select("term").distinct()))
+def disclosures(texts: DataFrame, docs: DataFrame, copies: DataFrame, *, posterior: float, bits: float, support: int) -> DataFrame:
+    """(text_hash, term): the terms of a text that exceed the thresholds for an entity it mentions.
+
+    ``texts`` has text_hash, entities and words of every distinct text with an entity, ``copies`` the number ``c`` of rows
+    of every text_hash. All counts are of distinct texts. Entities that can't reach the thresholds, whatever they stand
+    with, are left out before they are paired: no more texts show both than show either. A term is counted in the whole corpus
+    only if it exceeds the thresholds among the texts with an entity, which hold it at most as often.
+    """
     n = copies.count()
-    some = docs if held.bits.any() else docs.limit(0)  # no candidate: no term to count
-    counts = some.select("text", "text_hash").mapInArrow(_frequencies(held, bloom_of(copies.where("c > 1").select("text_hash"))), "term string, text_hash bigint, n long")
+    each = texts.select("text_hash", F.explode("entities").alias("entity"))
+    own = each.groupBy("entity").agg(F.count("*").alias("of_entity")).where((F.col("of_entity") >= support) & (F.log2(F.lit(float(n)) / F.col("of_entity")) >= bits))
+    known = each.join(own, "entity").join(texts.select("text_hash", "words"), "text_hash")
+    near = saved(known.select("text_hash", "entity", "of_entity", F.explode(F.split("words", "\n")).alias("term")).where("term <> ''"))
+    exceeds = lambda having: (F.col("both") / F.col(having) >= posterior) & (F.log2(F.col("both") / F.col(having) * n / F.col("of_entity")) >= bits)
+    seen = texts.select(F.explode(F.split("words", "\n")).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = saved(near.groupBy("entity", "term", "of_entity").agg(F.count("*").alias("both")).where(F.col("both") >= support).join(seen, "term").where(exceeds("least")).drop("least"))
+    held = bloom_of(_term_hashes(pairs.select("term").distinct()))
+    rows = docs if held.bits.any() else docs.limit(0)  # no candidate: no term to count
+    counts = rows.select("text", "text_hash").mapInArrow(_frequencies(held, bloom_of(copies.where("c > 1").select("text_hash"))), "term string, text_hash bigint, n long")
     counts = counts.groupBy("term", "text_hash").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("having"))
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    x = pairs.join(counts, "term").join(entities, "entity")
-    given = F.col("both") / F.col("having")
-    return x.where((given >= posterior) & (F.log2(given * n / F.col("of_entity")) >= bits)).select("entity", "term")
+    told = pairs.join(counts, "term").where(exceeds("having"))
+    return near.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("text_hash", "term").distinct()
 
 
-def find(docs: DataFrame, *, reach: int = 8, posterior: float = 0.2, bits: float = 4.0, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support: int = 3) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, uid (of the row's id and text), the counts by kind, ``base``
     (base spans) and ``spans`` (all spans), as ``kind:start:end`` by start, then kind.
 
@@ -190,10 +224,14 @@ def find(docs: DataFrame, *, reach: int = 8, posterior: float = 0.2, bits: float
     """
     bounded_batches(docs.sparkSession)
     docs = _with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    scan = saved(docs.mapInArrow(_scan(reach), _SCAN))
-    near = scan.where(F.size("near") > 0).select("uid", "text_hash", F.inline("near"))
-    told = disclosures(near, docs, saved(scan.groupBy("text_hash").agg(F.count("*").alias("c"))), posterior=posterior, bits=bits, support=support)
-    more = near.join(told, ["entity", "term"]).select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    scan = saved(docs.mapInArrow(_scan, _SCAN))
+    copies = saved(scan.groupBy("text_hash").agg(F.count("*").alias("c")))
+    texts = saved(scan.where(F.size("entities") > 0).select("text_hash", "entities", "words").dropDuplicates(["text_hash"]))
+    told = saved(disclosures(texts, docs, copies, posterior=posterior, bits=bits, support=support))
+    names = bloom_of(_term_hashes(told.select("term").distinct()))
+    rows = docs if names.bits.any() else docs.limit(0)
+    places = rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), names), "uid bigint, text_hash bigint, term string, start int, stop int")
+    more = places.join(told, ["text_hash", "term"]).select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     both = scan.join(more.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left")
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("stop")))
     terms = F.transform(F.coalesce("more", F.array().cast("array<struct<start:int,stop:int>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop")))

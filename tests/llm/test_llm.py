@@ -226,6 +226,25 @@ def test_copies_hide_no_disclosing_term(spark):
         assert all("term:13:20" in out[i] for i in range(5)) and not any("term" in out[i] for i in range(104, 204))
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    """Judged by whole texts, and removed all over the texts with the mention."""
+    filler = [f"the report of day {i} was long and dull, said one" for i in range(100)]
+    far = " and the long report of one dull day was said" * 80
+    told = [f"Zorblax{far} {'abcdefgh'[i]}x z@mail.org{far} zorblax" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(filler + told)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all(clean[i].lower().count("zorblax") == 0 and clean[i].count("<term>") == 2 for i in range(100, 105))
+    assert all(clean[i] == filler[i] for i in range(100))
+
+
+def test_words_outside_spans():
+    text = "Éa.b@c.de x +1 555 123 4567y Straße, 1.2.3.4 z"
+    spans = pii.base_spans(text)
+    words = [m.span() for m in pii._WORD.finditer(text)]
+    assert list(pii._outside(text, spans)) == [(s, e) for s, e in words if not any(s < y and a < e for a, y, _ in spans)]
+    assert pii._words(text, spans) >= {"x", "straße", "z"} and not pii._words(text, spans) & {"b", "c", "de"}
+
+
 def test_sketch_loses_no_window():
     import pyarrow as pa
 
