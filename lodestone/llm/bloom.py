@@ -53,6 +53,7 @@ def bloom_of(hashes: DataFrame) -> Bloom:
 
     schema = "piece long, bits binary"
     bits = np.zeros(BITS, bool)
-    for r in hashes.select(column).mapInArrow(part, schema).repartition(8, "piece").mapInArrow(merge, schema).toLocalIterator():
+    merged = hashes.select(column).mapInArrow(part, schema).repartition(8, "piece").mapInArrow(merge, schema)
+    for r in merged.collect():  # at most eight rows, 1 MB in all; one job, where an iterator would run one a partition
         bits[r.piece * piece : (r.piece + 1) * piece] |= np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)).astype(bool)
     return Bloom(bits)

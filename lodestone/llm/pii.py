@@ -4,8 +4,10 @@ Addresses and numbers found by pattern are the protected entities. Every word of
 spans found by pattern, is a candidate term. Over the corpus, a term is weighed by how strongly it gives an entity away:
 the posterior p(entity | term), from the texts that show both, over the texts with the term, and its pointwise mutual
 information with the entity in bits. All counts are of distinct texts, so that copies count once. Terms at or above both
-thresholds, with enough support, are spans of kind ``term`` wherever they stand in a text that mentions that entity;
-sanitising replaces spans by their kind. Texts that don't mention the entity keep the term.
+thresholds, with enough support, are spans of kind ``term`` wherever they stand in a text that mentions that entity. In
+texts that don't mention it a term is a span only where it points to the entity by itself: it is always written as a
+name (capitalised in every text that shows both), and its posterior is at least ``elsewhere``. Sanitising replaces
+spans by their kind.
 
 Document frequencies cover the whole corpus: a fixed-size filter of the candidates only spares counting other words.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .shared import bounded_batches, saved, table
+from .shared import bounded_batches, quoted, saved, table
 from .words import as_bytes
 
 # Kinds in order, and their patterns. The look-behinds only skip starts inside a run of digits, where a
@@ -89,9 +91,19 @@ def _outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int
             yield s, e
 
 
+def _forms(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    return {text[s:e] for s, e in _outside(text, spans)} if spans else set(_WORD.findall(text))
+
+
 def _words(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
-    found = {text[s:e] for s, e in _outside(text, spans)} if spans else set(_WORD.findall(text))
-    return {w.lower() for w in found}
+    return {w.lower() for w in _forms(text, spans)}
+
+
+def _marked_words(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The words, lower-cased, a line each; a blank before those that the text always writes with a capital."""
+    forms = _forms(text, spans)
+    small = {w.lower() for w in forms if not w[0].isupper()}
+    return "\n".join(w if w in small else f" {w}" for w in {w.lower() for w in forms})
 
 
 def _value(kind: str, text: str) -> int:
@@ -100,7 +112,7 @@ def _value(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{text}") - 2**63
 
 
-_SCAN = "doc_id bigint, uid bigint, text_hash bigint, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>, words string"
+_SCAN = "doc_id bigint, uid string, text_hash bigint, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>, words string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +127,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[i].append(sum(s[2] == k for s in spans))
             base.append(joined(spans))
             entities.append(sorted({_value(kind, text[a:b]) for a, b, kind in spans}))
-            words.append("\n".join(_words(text, spans)) if spans else "")
+            words.append(_marked_words(text, spans) if spans else "")
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.string())], names=["doc_id", "uid", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "words"])
 
 
@@ -155,23 +167,26 @@ def _frequencies(held: Bloom, copied: Bloom) -> Callable:
     return f
 
 
-def _places(texts: Bloom, terms: Bloom) -> Callable:
-    """(uid, text_hash, term, start, stop): all occurrences of the terms in the texts that the filters may hold."""
+def _places(texts: Bloom, terms: Bloom, names: Bloom) -> Callable:
+    """(uid, text_hash, term, start, stop): all occurrences of ``terms`` in ``texts``, and of ``names`` in any, by the filters."""
+    everywhere = bool(names.bits.any())
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column("text_hash").to_numpy()
-            at = np.flatnonzero(texts.may_hold(hashes.view(np.uint64)))
-            for u, h, raw in zip(batch.column("uid").to_numpy()[at].tolist(), hashes[at].tolist(), as_bytes(batch.column("text").take(pa.array(at))), strict=True):
+            told = texts.may_hold(hashes.view(np.uint64))
+            at = np.arange(len(hashes)) if everywhere else np.flatnonzero(told)
+            for own, u, h, raw in zip(told[at].tolist(), batch.column("uid").take(pa.array(at)).to_pylist(), hashes[at].tolist(), as_bytes(batch.column("text").take(pa.array(at))), strict=True):
                 text = (raw or b"").decode("utf-8", "replace")
                 spans = list(_outside(text, base_spans(text)))
                 words = [text[s:e].lower() for s, e in spans]
-                names = list(set(words))
-                ok = set(np.array(names, object)[terms.may_hold(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))])
+                found = list(set(words))
+                keys = np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)
+                ok = set(np.array(found, object)[names.may_hold(keys) | terms.may_hold(keys) & own])
                 rows = [(w, s, e) for w, (s, e) in zip(words, spans, strict=True) if w in ok]
                 if rows:
                     w, s, e = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"uid": pa.array([u] * len(w), pa.int64()), "text_hash": pa.array([h] * len(w), pa.int64()), "term": pa.array(w, pa.string()), "start": pa.array(s, pa.int32()), "stop": pa.array(e, pa.int32())})
+                    yield pa.RecordBatch.from_pydict({"uid": pa.array([u] * len(w), pa.string()), "text_hash": pa.array([h] * len(w), pa.int64()), "term": pa.array(w, pa.string()), "start": pa.array(s, pa.int32()), "stop": pa.array(e, pa.int32())})
 
     return f
 
@@ -187,12 +202,14 @@ def _term_hashes(terms: DataFrame) -> DataFrame:
     return terms.mapInArrow(f, "h long")
 
 
-def _with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"uid": F.xxhash64(F.col("doc_id"), F.col("text")), "text_hash": F.xxhash64("text")})
+def _uid(docs: DataFrame) -> F.Column:
+    """128 bits of a row's id and text: rows with one uid have the same spans."""
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("bigint").cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
 
 
-def disclosures(texts: DataFrame, docs: DataFrame, copies: DataFrame, *, posterior: float, bits: float, support: int) -> DataFrame:
-    """(text_hash, term): the terms of a text that exceed the thresholds for an entity it mentions.
+def disclosures(texts: DataFrame, docs: DataFrame, copies: DataFrame, *, posterior: float, bits: float, support: int, elsewhere: float) -> tuple[DataFrame, DataFrame]:
+    """(text_hash, term): the terms of a text that exceed the thresholds for an entity it mentions; and (term): the names
+    whose posterior is ``elsewhere`` or more.
 
     ``texts`` has text_hash, entities and words of every distinct text with an entity, ``copies`` the number ``c`` of rows
     of every text_hash. All counts are of distinct texts. Entities that can't reach the thresholds, whatever they stand
@@ -203,19 +220,20 @@ def disclosures(texts: DataFrame, docs: DataFrame, copies: DataFrame, *, posteri
     each = texts.select("text_hash", F.explode("entities").alias("entity"))
     own = each.groupBy("entity").agg(F.count("*").alias("of_entity")).where((F.col("of_entity") >= support) & (F.log2(F.lit(float(n)) / F.col("of_entity")) >= bits))
     known = each.join(own, "entity").join(texts.select("text_hash", "words"), "text_hash")
-    near = saved(known.select("text_hash", "entity", "of_entity", F.explode(F.split("words", "\n")).alias("term")).where("term <> ''"))
+    near = saved(known.select("text_hash", "entity", "of_entity", F.explode(F.split("words", "\n")).alias("term")).where("term <> ''").withColumns({"name": F.startswith("term", F.lit(" ")), "term": F.ltrim("term")}))
     exceeds = lambda having: (F.col("both") / F.col(having) >= posterior) & (F.log2(F.col("both") / F.col(having) * n / F.col("of_entity")) >= bits)
-    seen = texts.select(F.explode(F.split("words", "\n")).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = saved(near.groupBy("entity", "term", "of_entity").agg(F.count("*").alias("both")).where(F.col("both") >= support).join(seen, "term").where(exceeds("least")).drop("least"))
+    seen = texts.select(F.explode(F.transform(F.split("words", "\n"), lambda w: F.ltrim(w))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = saved(near.groupBy("entity", "term", "of_entity").agg(F.count("*").alias("both"), F.bool_and("name").alias("name")).where(F.col("both") >= support).join(seen, "term").where(exceeds("least")).drop("least"))
     held = bloom_of(_term_hashes(pairs.select("term").distinct()))
     rows = docs if held.bits.any() else docs.limit(0)  # no candidate: no term to count
     counts = rows.select("text", "text_hash").mapInArrow(_frequencies(held, bloom_of(copies.where("c > 1").select("text_hash"))), "term string, text_hash bigint, n long")
     counts = counts.groupBy("term", "text_hash").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("having"))
-    told = pairs.join(counts, "term").where(exceeds("having"))
-    return near.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("text_hash", "term").distinct()
+    told = saved(pairs.join(counts, "term").where(exceeds("having")))
+    names = told.where(F.col("name") & (F.col("both") >= elsewhere * F.col("having"))).select("term").distinct()
+    return near.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("text_hash", "term").distinct(), names
 
 
-def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support: int = 3, elsewhere: float = 0.5) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, uid (of the row's id and text), the counts by kind, ``base``
     (base spans) and ``spans`` (all spans), as ``kind:start:end`` by start, then kind.
 
@@ -223,15 +241,17 @@ def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support:
     evidence. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    docs = _with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"uid": _uid(docs), "text_hash": F.xxhash64("text")})
     scan = saved(docs.mapInArrow(_scan, _SCAN))
     copies = saved(scan.groupBy("text_hash").agg(F.count("*").alias("c")))
     texts = saved(scan.where(F.size("entities") > 0).select("text_hash", "entities", "words").dropDuplicates(["text_hash"]))
-    told = saved(disclosures(texts, docs, copies, posterior=posterior, bits=bits, support=support))
-    names = bloom_of(_term_hashes(told.select("term").distinct()))
-    rows = docs if names.bits.any() else docs.limit(0)
-    places = rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), names), "uid bigint, text_hash bigint, term string, start int, stop int")
-    more = places.join(told, ["text_hash", "term"]).select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    told, names = map(saved, disclosures(texts, docs, copies, posterior=posterior, bits=bits, support=support, elsewhere=elsewhere))
+    terms = bloom_of(_term_hashes(told.select("term").distinct()))
+    rows = docs if terms.bits.any() else docs.limit(0)
+    places = rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), terms, bloom_of(_term_hashes(names))), "uid string, text_hash bigint, term string, start int, stop int")
+    mine = places.join(told, ["text_hash", "term"], "left_semi").unionByName(places.join(names, "term", "left_semi")) if not names.isEmpty() else places.join(told, ["text_hash", "term"], "left_semi")
+    more = mine.select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     both = scan.join(more.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left")
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("stop")))
     terms = F.transform(F.coalesce("more", F.array().cast("array<struct<start:int,stop:int>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop")))
@@ -252,17 +272,24 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitised(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` (any columns) with every span in ``text`` replaced by its kind."""
+    """``docs`` (any columns) with every span in ``text`` replaced by its kind.
+
+    Null texts stay null, repeated rows stay repeated, an empty table stays empty; other columns may have any name.
+    """
 
     @F.pandas_udf("string")
     def f(texts, spans):
         return texts.combine(spans, lambda t, s: t if t is None or not s else redact(t, s))
 
     found = find(docs, **parameters).where("spans <> ''").select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans")).distinct()
-    x = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(found, F.col("_own") == F.col("_uid"), "left")
-    return x.withColumn("text", F.when(F.col("_spans").isNotNull(), f("text", "_spans")).otherwise(F.col("text"))).select(*docs.columns)
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(map(quoted, docs.columns))), _uid(docs).alias("_own"))  # so that no name clashes
+    x = own.join(found, F.col("_own") == F.col("_uid"), "left")
+    text = f"c{docs.columns.index('text')}"
+    clean = F.when(F.col("_spans").isNotNull(), f(text, "_spans")).otherwise(F.col(text))
+    return x.select(*((clean if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document; null and empty texts have none, and the digest of the empty string."""
     out = find(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows: a batch then stays small beside very long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -289,3 +289,19 @@ def test_pipeline(spark):
 
 def test_digest_of_nothing():
     assert decontaminate.NOTHING_SHA256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_names_are_removed_elsewhere(spark):
+    """A name that gives an address away goes from texts without the address too; a common word in it doesn't."""
+    filler = [f"the report of day {i} was long and dull, said one" for i in range(100)]
+    told = [f"note {'abcdefgh'[i]}x from Zorblax the writer at z@mail.org about {'qrstuvwx'[i]}y" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(filler + told + ["ask Zorblax, who is at home", None, ""])), "doc_id long, text string").withColumns({c: F.lit(0) for c in ("_uid", "_spans", "_own", "c0", "uid")})
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert got[105] == "ask <term>, who is at home" and got[106] is None and got[107] == "" and all(got[i] == filler[i] for i in range(100))
+
+
+def test_pii_of_odd_rows(spark, odd):
+    out = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base, r.spans) for r in pii.find(odd).collect())
+    assert out == Counter({(1, 0, 0, 0, 0, "", ""): 2, **{(i, 0, 0, 0, 0, "", ""): 1 for i in (2, 3, 4, None, 5, 6, 7, 8)}})
