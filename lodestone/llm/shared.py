@@ -42,7 +42,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
     e = saved(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumn("changed", F.lit(True))
+    # labels are written before they are joined, so that it is a plain join of two shuffles, split where a hub makes it hot
+    labels = saved(e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumn("changed", F.lit(True)))
     while True:
         near = e.join(labels.select(F.col("x").alias("y"), F.col("label").alias("near")), "y").groupBy("x").agg(F.min("near").alias("near"))
         step = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("mid"))

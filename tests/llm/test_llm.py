@@ -305,3 +305,42 @@ def test_names_are_removed_elsewhere(spark):
 def test_pii_of_odd_rows(spark, odd):
     out = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base, r.spans) for r in pii.find(odd).collect())
     assert out == Counter({(1, 0, 0, 0, 0, "", ""): 2, **{(i, 0, 0, 0, 0, "", ""): 1 for i in (2, 3, 4, None, 5, 6, 7, 8)}})
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs just over the threshold, in texts made of passages that many texts share: every bucket is split."""
+    draw = np.random.default_rng(4)
+    passages = [[f"p{k}w{i}" for i in range(45)] for k in range(70)]
+    data, pairs = [], 400
+    for k in range(pairs):
+        picked = draw.choice(70, 10, replace=False)
+        a = [w for p in picked[:9] for w in passages[p]]
+        b = [w for p in [*picked[:8], picked[9]] for w in passages[p]]
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join([*b[: 8 * 45], *a[8 * 45 : 8 * 45 + 5], *b[8 * 45 :]]))]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    jaccard = [len(a & b) / len(a | b) for k in range(pairs) for a, b in [(grams(data[2 * k][1]), grams(data[2 * k + 1][1]))]]
+    assert 0.8 <= min(jaccard) and max(jaccard) < 0.83
+    got = {r.doc_id: r.n_links for r in jaccard_join.similar(spark.createDataFrame(data, "doc_id long, text string"), limit=8).collect()}
+    assert sum(got[2 * k] > 0 and got[2 * k + 1] > 0 for k in range(pairs)) >= 0.99 * pairs
+
+
+def test_runs_give_the_recall():
+    draw = np.random.default_rng(6)
+    runs = jaccard_join.runs_for(0.995)
+    met = 0
+    for k in range(4000):
+        shared = draw.integers(0, 2**64, draw.poisson(jaccard_join.SAMPLE), np.uint64)
+        paths = [np.array([(k << 8) + run], np.int64) for run in range(runs)]
+        for _ in range(6):  # six levels of splits, of all runs together
+            paths = [np.concatenate([jaccard_join._drawn(shared, int(p), jaccard_join.RATE / jaccard_join.SAMPLE) for p in some[:6]] or [np.empty(0, np.int64)]) for some in paths]
+        met += any(len(p) for p in paths)
+    assert met >= 0.99 * 4000
+
+
+def test_rows_without_an_id(spark):
+    """Copies without a doc_id are one class; one of them stays. Columns may have any name."""
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, base, 1), (None, base, 2), (None, base + " x", 3), (4, "alone", 4), (None, None, 5)], "doc_id long, text string, _first int").withColumns({c: F.lit(0) for c in ("_own", "_did", "sig", "_nth", "c0", "a.b")})
+    out = jaccard_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text and len(r.text) > 9) for r in out.collect()) == Counter([(None, True), (4, False), (None, None)])
