@@ -121,14 +121,43 @@ def test_survival_gives_the_recall():
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 0, '{"messages":[{"role":"user","content":"a</turn>\\\\"},{"role":"assistant","content":"<turn:x>\\n"}]}'), (2, 0, '{"instruction":"i","input":"","output":"o"}'), (3, 0, '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":null}]}'), (4, 0, "not json"), (5, 0, None), (6, 0, '{"other":1}')]
-    df = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, record string"))
-    got = defaultdict(list)
+    rows = [
+        (1, 0, '{"messages":[{"role":"user","content":"a</turn>\\\\"},{"role":"assistant","content":"<turn:x>\\n"}]}'),
+        (2, 0, '{"instruction":"i","input":"","output":"o"}'),
+        (3, 0, '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":null}]}'),
+        (4, 0, "not json"), (5, 0, None), (6, 0, '{"other":1}'), (7, 0, '{"messages":[]}'), (8, 0, "[" * 100_000),
+        (9, 0, '{"messages":[null,"s",{"role":"user","content":"c","name":"n"}]}'),
+        (10, 0, '{"id":"x","conversations":[{"from":"human","value":"h"}]}'),
+        (11, 0, '{"role":"user","text":"a\\ud800b"}'), (12, 0, '{"messages":"m"}'), (13, 0, "7"), (None, None, '{"prompt":"p","completion":"c"}'),
+    ]
+    records = spark.createDataFrame(rows, "conv_id long, turn long, record string").withColumns({c: F.lit(0) for c in ("turns", "layout", "text", "_record")})
+    df = chat.format_conversations(records)
+    got, why = defaultdict(list), {}
     for r in df.orderBy("conv_id", "part").collect():
+        if r.rejected:
+            why[r.conv_id] = r.rejected
+            assert r.segment is None
+            continue
         got[r.conv_id] += chat.parse(r.segment)
         assert r.loss_to >= r.loss_from
-    assert dict(got) == {1: [("user", "a</turn>\\"), ("assistant", "<turn:x>\n")], 2: [("user", "i"), ("assistant", "o")], 3: [("user", "h"), ("assistant", "")]}
+    assert dict(got) == {
+        1: [("user", "a</turn>\\"), ("assistant", "<turn:x>\n")], 2: [("user", "i"), ("assistant", "o")], 3: [("user", "h"), ("assistant", "")],
+        9: [("", ""), ("", "s"), ("user", "c")], 10: [("user", "h")], 11: [("user", "a\ufffdb")], 12: [("", "m")], None: [("user", "p"), ("assistant", "c")],
+    }
+    assert why == {4: "not JSON", 5: "null", 6: "unknown layout", 7: "no turns", 8: "nested too deep", 13: "unknown layout"}
     assert len(chat.MAPPINGS) == len(chat.LAYOUTS)
+    back = {r.conv_id: (r.n_turns, r.n_rejected) for r in chat.read_back(df).collect()}
+    assert back[4] == (0, 1) and back[None] == (2, 0) and len(back) == len(rows)
+    assert chat.read_back(chat.format_conversations(records.limit(0))).count() == 0
+
+
+def test_every_layout_is_met(spark):
+    """What op3 feeds its mappings: five layouts, none rejected."""
+    conv = table(spark, "conversations").select("conv_id", "turn", "role", "text")
+    records = conv.select("conv_id", "turn", chat._record(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5))).alias("record"))
+    turns = chat.canonical_turns(records, ["conv_id", "turn"])
+    assert {r.layout for r in turns.select("layout").distinct().collect()} == {"turn", "turn_content", "messages", "conversations"}
+    assert Counter((r.conv_id, r.turn, r.role, r.text) for r in turns.collect()) == Counter((r.conv_id, r.turn, r.role, r.text) for r in conv.collect())
 
 
 def test_quality_rules_by_brute_force(spark):
