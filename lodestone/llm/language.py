@@ -59,11 +59,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
 
-def sample(docs: DataFrame, per_language: int, where: F.Column) -> DataFrame:
-    """At most ``per_language`` rows (doc_id, lang) of each language, by a hash; two steps, so no task sorts a language."""
+def sample(docs: DataFrame, per_language: int, most_languages: int, where: F.Column) -> DataFrame:
+    """At most ``per_language`` rows (doc_id, lang) of each of the ``most_languages`` most frequent languages, by a hash.
+
+    A language's rows are first thinned by the hash to about four times what is taken, so no task sorts a language.
+    """
     x = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        x = x.withColumn("k", F.row_number().over(W.partitionBy(*part).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
+    often = x.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    x = x.join(F.broadcast(often), "lang").where(F.pmod("h", F.lit(1 << 30)).cast("double") * F.col("n") <= F.lit(float(4 * per_language << 30)))
+    x = x.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
     return x.select("doc_id", "lang").distinct()
 
 
@@ -84,23 +88,30 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int, ridge: float) -> Model |
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
-    x = np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), np.uint8)).reshape(len(rows), -1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    seen: dict[str, int] = {}
-    turn = [seen.__setitem__(r[0], seen.get(r[0], -1) + 1) or (seen[r[0]], i) for i, r in enumerate(rows)]
-    chosen = [i for _, i in sorted(turn)[:landmarks]]  # languages in turn
-    marks = x[chosen]
+    turns: dict[str, int] = {}
+    order = []
+    for i, (language, _) in enumerate(rows):
+        turns[language] = turns.get(language, -1) + 1
+        order.append((turns[language], i))
+    chosen = [i for _, i in sorted(order)[:landmarks]]  # languages in turn
+    marks = _unpacked([rows[i][1] for i in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    features = (x @ marks.T) @ root
-    goal = np.where(np.array([r[0] for r in rows])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    weight = 1 / np.maximum((goal > 0).sum(0), 1)  # languages count alike
-    w = np.array([weight[languages.index(r[0])] for r in rows])
+    features = np.concatenate([_unpacked([r[1] for r in rows[i : i + 512]]) @ marks.T for i in range(0, len(rows), 512)]) @ root
+    place = {x: i for i, x in enumerate(languages)}
+    own = np.array([place[r[0]] for r in rows])
+    goal = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    w = 1 / np.bincount(own)[own]  # languages count alike
     w *= len(rows) / w.sum()
     a = features.T @ (features * w[:, None]) + ridge * np.eye(len(chosen))
     return Model(languages, (marks.T @ (root @ np.linalg.solve(a, features.T @ (goal * w[:, None])))).astype(np.float32))
 
 
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), -1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def _predict(model: Model | None) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,20 +128,29 @@ def _predict(model: Model | None) -> Callable:
     return f
 
 
-def identify(docs: DataFrame, *, learn_where: F.Column, per_language: int = 250, landmarks: int = 256, ridge: float = 0.1) -> DataFrame:
+def identify(docs: DataFrame, *, learn_where: F.Column, per_language: int = 250, most_rows: int = 10_000, most_languages: int = 400, landmarks: int = 256, ridge: float = 0.1) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text, lang).
 
-    Learns from at most ``per_language`` labelled rows of each language among ``learn_where``. Null texts and texts
-    without a letter are ``und`` with score 0, as is everything when no labelled row is there; ties go to the language
-    first by name. Predictions read the text alone.
+    Learns from at most ``per_language`` labelled rows of each language among ``learn_where``, from ``most_languages`` at
+    most (the most frequent) and ``most_rows`` in all: the driver holds 4 KB of each, and unpacks 512 and the landmarks at
+    a time. Null texts and texts without a letter are ``und`` with score 0, as is everything when no labelled row is there;
+    ties go to the language first by name. Predictions read the text alone. Repeated rows are predicted each; rows without
+    an id can't be told apart and are learned from only as one. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ids = sample(docs, per_language, learn_where)
-    packed = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL").select("doc_id", "lang", "text").mapInArrow(_packed, "doc_id long, lang string, bits binary")
-    rows = sorted((r.doc_id, r.lang, bytes(r.bits)) for r in packed.toLocalIterator())
-    model = fit([r[1:] for r in rows], landmarks, ridge)
+    ids = sample(docs, per_language, most_languages, learn_where)
+    packed = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL").dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_packed, "doc_id long, lang string, bits binary")
+    rows = sorted((r.doc_id, r.lang, bytes(r.bits)) for r in packed.collect())
+    each = max(1, most_rows // max(1, len({r[1] for r in rows})))
+    seen: dict[str, int] = {}
+    few = []
+    for _, lang, bits in rows:
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= each:
+            few.append((lang, bits))
+    model = fit(few, landmarks, ridge)
     return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
@@ -139,6 +159,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; see ``identify`` for nulls, empties and ties."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn_where=F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
