@@ -1,14 +1,15 @@
 """Quality classifier: importance resampling with hashed n-gram generative models, sampled by Gumbel top-k.
 
-Bags of hashed n-grams (folded words; shapes of words, alone and in pairs; whether a word repeats the one before) are
-counted in a bounded sample of labelled documents: the target (good, not toxic) and two kinds of raw text to turn away
-(junk; toxic). A document's log weight adds, for either kind, the log ratio of the target's model to that kind's,
-where it is below -MARGIN: over all n-grams against junk, and against toxic text over the distinct n-grams whose counts
-differ significantly and by STRONG, as a few insults stand in an otherwise good text. Weights are raised to ``sharpness``.
-
-Sampling without replacement by weight is a top-k of log weight + Gumbel noise (from a hash of the row, so reruns
-agree). k is the expected number of good documents, the sum of weights capped at 1, so good documents are not thinned
-out: those turned away are the ones with a small weight. The k-th key is found by narrowing histograms.
+Bags of hashed n-grams (folded words and pairs of them; shapes of words, alone and in pairs; whether a word repeats the
+one before) are counted in a bounded sample of labelled documents: the target (good, not toxic) and the raw text, which
+is the whole sample as the corpus mixes it. A document's log weight is the log ratio of the target's model to the raw
+one's over all its n-grams. A few insults stand in an otherwise good text and vanish in that sum, so toxic text is a
+second raw component, judged over the distinct n-grams whose counts differ significantly and by STRONG; the weight
+is the target's probability over the sum of both components', each with MARGIN of prior odds.
+
+Sampling without replacement by weight is a top-k of ``sharpness`` * log weight + Gumbel noise (from a hash of the row, so
+reruns agree). k is a parameter; by default it is the expected number of good documents, the sum of weights capped at 1,
+so good documents are not thinned out. The k-th key is found by narrowing histograms.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, saved, table
-from .words import Tokens, mix, text_slices
+from .shared import bounded_batches, quoted, saved, table
+from .words import MULTIPLIERS, Tokens, mix, text_slices
 
-BUCKETS = 1 << 20
+#: Positions of the n-grams, and of the pairs of words behind them.
+BUCKETS, PAIRS = 1 << 20, 1 << 20
 #: Log odds that a text is good before its n-grams are seen: one n-gram that is there by chance turns nothing away.
 MARGIN = 4.0
 #: Least log ratio of an n-gram that counts as toxic: many weaker ones only tell one language from another.
@@ -45,21 +47,26 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     rows = row(x)
     pair = np.flatnonzero(rows[1:] == rows[:-1])
     twice = (x.ids[1:] == x.ids[:-1])[pair].astype(np.uint64)
-    parts = [(row(fold), fold.ids), (rows, mix(shape + np.uint64(1 << 33))), (rows[pair], mix(shape[pair] << np.uint64(32) | shape[pair + 1])), (rows[pair], mix(twice + np.uint64(1 << 34)))]
-    return np.concatenate([r for r, _ in parts]), (np.concatenate([h for _, h in parts]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    own = row(fold)
+    near = np.flatnonzero(own[1:] == own[:-1])
+    words = mix(fold.ids[near] * MULTIPLIERS[0] + fold.ids[near + 1]) & np.uint64(PAIRS - 1)
+    parts = [(own, fold.ids), (rows, mix(shape + np.uint64(1 << 33))), (rows[pair], mix(shape[pair] << np.uint64(32) | shape[pair + 1])), (rows[pair], mix(twice + np.uint64(1 << 34)))]
+    single = (np.concatenate([h for _, h in parts]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.concatenate([*(r for r, _ in parts), own[near]]), np.concatenate([single, words.astype(np.int64) + BUCKETS])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of occurrences and of documents by class (0 target, 1 junk, 2 toxic), of one partition of the sample."""
-    total = np.zeros((3, 2, BUCKETS), np.int32)
+    size = BUCKETS + PAIRS
+    total = np.zeros((3, 2, size), np.int32)
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
         for first, texts in text_slices(batch):
             rows, buckets = ngrams(texts)
-            once = np.unique(rows * BUCKETS + buckets)
+            once = np.unique(rows * size + buckets)
             for k in range(3):
-                total[k, 0] += np.bincount(buckets[kinds[first + rows] == k], minlength=BUCKETS).astype(np.int32)
-                total[k, 1] += np.bincount(once[kinds[first + once // BUCKETS] == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+                total[k, 0] += np.bincount(buckets[kinds[first + rows] == k], minlength=size).astype(np.int32)
+                total[k, 1] += np.bincount(once[kinds[first + once // size] == k] % size, minlength=size).astype(np.int32)
     for k in range(3):
         for i in range(2):
             at = np.flatnonzero(total[k, i])
@@ -84,29 +91,30 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float, significant: f
 
 class Model:
     def __init__(self, counts: np.ndarray):
-        self.junk = log_ratio(counts[0, 0], counts[1, 0], 5)
-        toxic = log_ratio(counts[0, 1], counts[2, 1], 2, 4)
+        self.raw = log_ratio(counts[0, 0], counts[:, 0].sum(0), 5)
+        toxic = log_ratio(counts[0, 1, :BUCKETS], counts[2, 1, :BUCKETS], 2, 4)  # a pair says no more of an insult than its word
         self.toxic = np.where(toxic <= -STRONG, toxic, np.float32(0))
 
     def log_weights(self, texts: list[bytes | None]) -> np.ndarray:
         rows, buckets = ngrams(texts)
-        junk = np.bincount(rows, self.junk[buckets], len(texts))
-        at = np.flatnonzero(self.toxic[buckets])
+        raw = np.bincount(rows, self.raw[buckets], len(texts))
+        single = np.flatnonzero(buckets < BUCKETS)
+        at = single[self.toxic[buckets[single]] != 0]
         once = np.unique(rows[at] * BUCKETS + buckets[at])
         toxic = np.bincount(once // BUCKETS, self.toxic[once % BUCKETS], len(texts))
-        return np.minimum(junk + MARGIN, 0) + np.minimum(toxic + MARGIN, 0)
+        return -np.logaddexp(-(raw + MARGIN), -(toxic + MARGIN))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     """From at most ``train_rows`` labelled documents, by a hash of doc_id; texts that repeat count once."""
     spark = docs.sparkSession
     kind = F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 0).when(F.col("quality") == 0, 1).when(F.col("toxic") == 1, 2)
-    some = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), kind.cast("bigint").alias("kind")).where("doc_id IS NOT NULL AND kind IS NOT NULL").groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    some = labels.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), kind.cast("bigint").alias("kind")).where("doc_id IS NOT NULL AND kind IS NOT NULL").groupBy("doc_id").agg(F.max("kind").alias("kind"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
     parts = max(1, train_rows // 2_500)
     rows = rows.groupBy(F.md5("text").alias("h")).agg(F.max("kind").alias("kind"), F.first("text").alias("text")).select("kind", "text").repartition(parts, F.xxhash64("text"))
-    counts = np.zeros((3, 2, BUCKETS), np.int64)
+    counts = np.zeros((3, 2, BUCKETS + PAIRS), np.int64)
     for r in rows.mapInArrow(_counted, "kind long, what long, counts binary").toLocalIterator():
         x = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
         counts[r.kind, r.what, x[: len(x) // 2]] += x[len(x) // 2 :]
@@ -114,11 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     return Model(counts)
 
 
-def _weigh(model: Model) -> Callable:
+def _weigh(model: Model, columns: int) -> Callable:
+    """The first ``columns`` of a batch and the log weight of its last one, the text."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [model.log_weights(texts) for _, texts in text_slices(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, "_log_weight"])
+            out = [model.log_weights(texts) for _, texts in text_slices(batch, "_weighed")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names[:columns], "_log_weight"])
 
     return f
 
@@ -144,31 +154,32 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     return low
 
 
-def weighed(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, sharpness: float = 3.0, seed: int = 7) -> tuple[DataFrame, Callable[[], float]]:
-    """``docs`` with ``_log_weight`` and ``_key``, and a function that gives the k-th key: rows at or above it are the
-    sample (ties at it are all in).
+def weighed(docs: DataFrame, labels: DataFrame, *, columns: list[str] | None = None, k: int | None = None, train_rows: int = 20_000, sharpness: float = 3.0, seed: int = 7) -> tuple[DataFrame, Callable[[], float]]:
+    """The ``columns`` of ``docs`` (all by default) with ``_log_weight`` and ``_key``, written once, and a function that gives
+    the k-th key: rows at or above it are the sample (ties at it are all in).
 
-    Null and empty texts have no n-grams: log weight 0, as nothing speaks against them. Repeated rows have one key.
-    Without labels of a kind nothing is turned away for it.
+    ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic. Null and empty texts have no n-grams, so nothing
+    speaks against them. Repeated rows have one key. Without labels of a kind nothing is turned away for it; ids that are
+    no numbers meet no label. Columns already named ``_log_weight`` or ``_key`` are replaced; empty tables give no rows.
     """
     model = train(docs, labels, train_rows)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(_weigh(model), f"{schema}, _log_weight double")
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    out = out.withColumn("_key", F.col("_log_weight") * sharpness - F.log(-F.log(u)))
+    kept = [c for c in columns or docs.columns if c not in ("_log_weight", "_key")]
+    x = docs.select(*(F.col(quoted(c)) for c in kept), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_noise"), F.col("text").cast("string").alias("_weighed"))
+    schema = "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in x.schema.fields[:-1])
+    x = x.mapInArrow(_weigh(model, len(kept) + 1), f"{schema}_log_weight double")
+    u = (F.pmod(F.col("_noise"), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    out = saved(x.withColumn("_key", F.col("_log_weight") * sharpness - F.log(-F.log(u))).drop("_noise"))
 
     def threshold() -> float:
-        keys = saved(out.select("_log_weight", "_key"))
-        k = keys.agg(F.sum(F.exp(F.least(F.col("_log_weight") * sharpness, F.lit(0.0))))).first()[0]
-        return kth_largest(keys, "_key", round(k or 0))
+        most = k
+        if most is None:
+            most = round(out.agg(F.sum(F.exp(F.least(F.col("_log_weight") * sharpness, F.lit(0.0))))).first()[0] or 0)
+        return kth_largest(out, "_key", most)
 
     return out, threshold
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, _ = weighed(docs, table(spark, sf_dir, "labels"))
-    out = saved(out.select("doc_id", "_log_weight", "_key"))
-    k = out.agg(F.sum(F.exp(F.least(F.col("_log_weight") * 3.0, F.lit(0.0))))).first()[0]
-    least = kth_largest(out, "_key", round(k or 0))
-    return out.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("sample_key"), (F.col("_key") >= least).alias("kept"))
+    """Log weight, key and verdict of every document; see ``weighed`` for nulls, empties and repeats."""
+    out, threshold = weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+    return out.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("sample_key"), (F.col("_key") >= threshold()).alias("kept"))
