@@ -26,7 +26,11 @@ SYMBOLS = b"#*$%&|<>"
 _MARKED = re.compile(rb"[#*$%&<>]{2,}|!!+")
 _SEPARATOR = re.compile(rb"\||\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2")
 _PUNCTUATION = re.compile(rb"[.,;:!?'\"()-]|\xe2\x80[\x93-\xa6]|\xe3\x80\x82|\xef\xbc\x8c")
-_FURNITURE = re.compile(rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use cookies|skip to (?:main )?content|sign in|log in|subscribe (?:now|to)|share (?:this|on)|read more|click here|enable javascript|powered by|copyright \xc2\xa9|back to top", re.I)
+#: In the corpus's languages: English, German, French, Spanish.
+_FURNITURE = re.compile("all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use cookies|skip to (?:main )?content|sign in|log in|subscribe (?:now|to)|share (?:this|on)|read more|click here|enable javascript|powered by|copyright ©|back to top"
+    "|alle rechte vorbehalten|datenschutz(?:erklärung|richtlinie)|nutzungsbedingungen|zum inhalt springen|jetzt anmelden|weiterlesen|nach oben"
+    "|tous droits réservés|politique de confidentialité|conditions d'utilisation|aller au contenu|se connecter|lire la suite|haut de page"
+    "|todos los derechos reservados|política de privacidad|condiciones de uso|saltar al contenido|iniciar sesión|leer más|volver arriba".encode(), re.I)
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -49,7 +53,7 @@ def line_fault(line: bytes, n: int, *, long_line: int, furniture_words: int) ->
 def _judge(most_lost: float, long_line: int, furniture_words: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lost_lines", "n_lost_words", "cleaned")}
+            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lost_lines", "n_lost_words", "n_lost_chars", "cleaned")}
             for _, texts in text_slices(batch):
                 x = Tokens(texts)
                 b = np.frombuffer(x.raw, np.uint8)
@@ -60,7 +64,7 @@ def _judge(most_lost: float, long_line: int, furniture_words: int) -> Callable:
                 out["n_repeat_words"] += _repeat_words(x)
                 for t in texts:
                     seen: set[bytes] = set()
-                    dup = lines = lost = lost_words = 0
+                    dup = lines = lost = lost_words = lost_chars = 0
                     kept = []
                     for line in (t or b"").split(b"\n"):
                         n = len(line.split())
@@ -75,16 +79,18 @@ def _judge(most_lost: float, long_line: int, furniture_words: int) -> Callable:
                         if line_fault(line, n, long_line=long_line, furniture_words=furniture_words):
                             lost += 1
                             lost_words += n
+                            lost_chars += len(line.decode("utf-8", "replace"))
                         else:
                             kept.append(line)
                     out["n_dup_lines"].append(dup)
                     out["n_lines"].append(lines)
                     out["n_lost_lines"].append(lost)
                     out["n_lost_words"].append(lost_words)
+                    out["n_lost_chars"].append(lost_chars)
                     out["cleaned"].append(b"\n".join(kept) if t is not None else None)
             failed = [w < 50 or 100 * r > 50 * w for w, r in zip(out["n_words"], out["n_repeat_words"], strict=True)]
             kept_ = [not f and lw <= most_lost * w for f, lw, w in zip(failed, out["n_lost_words"], out["n_words"], strict=True)]
-            cleaned = pa.array(out.pop("cleaned"), pa.binary()).cast(pa.string())
+            cleaned = pa.array(out.pop("cleaned"), pa.large_binary()).cast(pa.large_string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in out.values()), pa.array(failed, pa.bool_()), pa.array(kept_, pa.bool_()), cleaned], names=["doc_id", *out, "base_failed", "kept", "cleaned_text"])
 
     return f
@@ -108,7 +114,7 @@ def _repeat_words(x: Tokens, n: int = 3) -> list[int]:
     return np.diff(np.concatenate([[0], np.cumsum(np.cumsum(gone)[:-1] > 0)])[x.first]).tolist()
 
 
-_SCHEMA = "doc_id bigint, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_lost_lines long, n_lost_words long, base_failed boolean, kept boolean, cleaned_text string"
+_SCHEMA = "doc_id bigint, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_lost_lines long, n_lost_words long, n_lost_chars long, base_failed boolean, kept boolean, cleaned_text string"
 
 
 def clean_lines(docs: DataFrame, *, most_lost: float = 0.4, long_line: int = 30, furniture_words: int = 20) -> DataFrame:
@@ -123,5 +129,6 @@ def clean_lines(docs: DataFrame, *, most_lost: float = 0.4, long_line: int = 30,
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; see ``clean_lines`` for nulls, empties and repeats."""
     out = clean_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lost_lines", "n_lost_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lost_lines", "n_lost_words", "n_lost_chars", F.sha2(F.coalesce("cleaned_text", F.lit("")), 256).alias("cleaned_sha256"))
