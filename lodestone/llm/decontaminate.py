@@ -164,6 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the benchmark's windows mark in every document; see ``contamination`` for nulls, empties and repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(

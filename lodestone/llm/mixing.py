@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import quoted, saved, table
 
 BITS = 40
 #: Up to so many sources, their stretches of the schedule are broadcast.
@@ -125,7 +125,29 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix as a corpus: ``docs`` (any columns), with ``size``, ``taken`` (words) and ``slots``.
+
+    ``slots`` is an array of (slot, round, from, to) by slot: which words of the text stand at which place of the schedule, so
+    that the mixed text is the union of slots in order. A document fills at most 3 times its size in slots. Documents it
+    takes nothing of (empty and null texts, and those past their source's target) have no slots; rows that repeat a
+    doc_id, source and size have one of their places each. Columns already named like the new ones are replaced.
+    """
+    taken, _, _ = mixture(docs, **parameters)
+    same = ["doc_id", "source", "size", "begin"]
+    got = taken.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("slot", "round", "from", "to"))).alias("slots"), F.sum(F.col("to") - F.col("from")).cast("bigint").alias("taken"))
+    nth = F.row_number().over(W.partitionBy("_d", "_s", "_z").orderBy("_b"))
+    got = saved(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("begin").alias("_b"), "slots", "taken").withColumn("_n", nth))
+    own = [c for c in docs.columns if c not in ("size", "taken", "slots")]
+    x = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)), F.col("doc_id").cast("bigint").alias("_doc"), F.col("source").cast("string").alias("_src"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("_size"))
+    x = x.withColumn("_k", F.row_number().over(W.partitionBy("_doc", "_src", "_size").orderBy(F.lit(1))))
+    out = x.join(got, F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_k") == F.col("_n")), "left")
+    none = F.array().cast("array<struct<slot:bigint,round:int,from:bigint,to:bigint>>")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), F.col("_size").alias("size"), F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"), F.coalesce("slots", none).alias("slots"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see ``mixture`` for nulls, empties, ties and repeats."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -243,6 +243,7 @@ def without_repeated_passages(docs: DataFrame, *, window: int = 13, chunk_bytes:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is cut of every document, and what is kept; see ``without_repeated_passages`` for nulls, empties and repeats."""
     out = without_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 

@@ -289,7 +289,7 @@ def test_language_on_held_out(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.95 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     """Each stage against what its operator says of the same input."""
     docs, labels = table(spark, "documents"), table(spark, "labels")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -313,7 +313,16 @@ def test_pipeline(spark):
             assert len(good & set(before) & ids) >= 0.97 * len(good & set(before))
         docs = out
     assert {r.doc_id for r in docs.collect()} == set(before)
-    assert corpus_pipeline.run(spark, SF).count() == len(before)
+    mix = {r.doc_id: r for r in docs.collect()}
+    assert all(r.text == before[i] and r.taken == sum(x.to - x["from"] for x in r.slots) and r.taken <= 3 * r.size for i, r in mix.items())
+    folder = str(tmp_path)
+    assert corpus_pipeline.run(spark, SF, folder).count() == len(before)
+    kept = corpus_pipeline.STAGES[:]
+    try:  # a resumed run computes nothing again
+        corpus_pipeline.STAGES[:] = [(name, None) for name, _ in kept]
+        assert corpus_pipeline.run(spark, SF, folder).count() == len(before)
+    finally:
+        corpus_pipeline.STAGES[:] = kept
 
 
 def test_digest_of_nothing():
@@ -373,3 +382,120 @@ def test_rows_without_an_id(spark):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.text and len(r.text) > 9) for r in out.collect()) == Counter([(None, True), (4, False), (None, None)])
+
+
+def test_weights_by_brute_force(spark):
+    """The classifier again, with n-grams as they are instead of hashed, in plain Python."""
+    import math
+
+    good = [f"The cat {i} sat on the mat, and it slept well all day long in room {i % 3}." for i in range(30)]
+    junk = [f"BUY BUY now!!! $$$ {i} $$$ click click" for i in range(12)]
+    toxic = [f"The cat {i} sat on the mat, you utter zorg, and slept in room {i % 3}." for i in range(14)]
+    data = [(i, t) for i, t in enumerate([*good, *junk, *toxic, "A cat sat, you zorg.", "click click $$$", "", "Plain words that nobody saw"])]
+    labels = [(i, int(i < 30 or i >= 42), int(i >= 42)) for i in range(56)]
+    docs = spark.createDataFrame([*data, (99, None)], "doc_id long, text string")
+    out, threshold = importance.weighed(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    fold = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    shape = lambda w: "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in w[-4:])
+
+    def grams(t):
+        f, w = fold(t), t.split()
+        near = list(zip(w, w[1:], strict=False))
+        return [*(("w", x) for x in f), *(("s", shape(x)) for x in w), *(("ss", shape(a), shape(b)) for a, b in near), *(("t", a == b) for a, b in near)], [("p", a, b) for a, b in zip(f, f[1:], strict=False)]
+
+    kind = {i: 1 if q == 0 else 2 if x else 0 for i, q, x in labels}
+    n, d = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for i, t in data:
+        if i in kind:
+            a, b = grams(t)
+            n[kind[i]].update(a + b)
+            d[kind[i]].update(set(a))
+    total = n[0] + n[1] + n[2]
+
+    def ratio(x, target, raw, smooth, significant=0.0):
+        a, b = sum(target.values()), sum(raw.values())
+        both = (target[x] + raw[x]) / (a + b)
+        if abs(raw[x] - both * b) < significant * math.sqrt(both * b * a / (a + b) + 0.5):
+            return 0.0
+        return math.log((target[x] + smooth) / (both * a + smooth)) - math.log((raw[x] + smooth) / (both * b + smooth))
+
+    want = {}
+    for i, t in [*data, (99, "")]:
+        a, b = grams(t)
+        raw = sum(ratio(x, n[0], total, 5) for x in a + b)
+        bad = sum(r for x in set(a) if (r := ratio(x, d[0], d[2], 2, 4)) <= -importance.STRONG)
+        want[i] = -np.logaddexp(-(raw + importance.MARGIN), -(bad + importance.MARGIN))
+    rows = out.collect()
+    assert len(rows) == len(want) and all(abs(r._log_weight - want[r.doc_id]) < 1e-3 * max(1, abs(want[r.doc_id])) for r in rows)
+    k = round(sum(min(1.0, math.exp(3 * w)) for w in want.values()))
+    least = threshold()
+    assert sum(r._key >= least for r in rows) == k and least == sorted((r._key for r in rows), reverse=True)[k - 1]
+    assert importance.weighed(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=5)[1]() == sorted((r._key for r in rows), reverse=True)[4]
+
+
+def test_kernel_by_brute_force():
+    """Presence against sets of n-grams; the folded model against kernel values with the landmarks, entry by entry."""
+    texts = ["Straße der Wörter", "the words of a street", "la rue des mots", "el camino", "die Wörter, der Satz!", "a street of words"] * 3
+    texts = [f"{t} {i}" for i, t in enumerate(texts)]
+    langs = ["de", "en", "fr", "es", "de", "en"] * 3
+    x = language.presence(texts)
+    for t, row in zip(texts, x, strict=True):
+        low = [32 if ord(c) < 128 and not c.isalpha() else ord(c) for c in f" {t.lower()} "]
+        places = set()
+        for n in range(1, language.ORDER + 1):
+            for i in range(len(low) - n + 1):
+                h = 0
+                for c in low[i : i + n]:
+                    h = (h * int(language.MULTIPLIERS[0]) + c + 1) % 2**64
+                places.add(int(language.mix(np.array([(h + n) % 2**64], np.uint64))[0]) % language.DIMENSIONS)
+        assert set(np.flatnonzero(row).tolist()) == places
+    model = language.fit([(lang, np.packbits(r).tobytes()) for lang, r in zip(langs, x, strict=True)], 12, 0.1)
+    sets = [set(np.flatnonzero(r).tolist()) for r in x]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    turn = sorted((langs[:i].count(lang), i) for i, lang in enumerate(langs))
+    marks = [i for _, i in turn][:12]
+    K = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(K)
+    phi = np.array([[kernel(s, sets[j]) for j in marks] for s in sets]) @ (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T)
+    names = sorted(set(langs))
+    weight = np.array([1 / langs.count(lang) for lang in langs])
+    weight *= len(langs) / weight.sum()
+    goal = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
+    w = np.linalg.solve((phi * weight[:, None]).T @ phi + 0.1 * np.eye(12), (phi * weight[:, None]).T @ goal)
+    scores = phi @ w
+    best, score = model.predict(texts)
+    assert (best == scores.argmax(1)).all() and np.abs(score - np.clip((scores.max(1) + 1) / 2, 0, 1)).max() < 1e-3
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', pmod(id, 7)) AS lang")
+    got = Counter(r.lang for r in language.sample(docs, 20, 5, F.lit(True)).collect())
+    assert len(got) == 5 and set(got.values()) == {20}
+
+
+def test_lines_by_brute_force(spark):
+    """Verdict and cleaned text of op4, line by line."""
+    got = {r.doc_id: r for r in quality_rules.op4_quality_rules(spark, SF).collect()}
+    cleaned = {r.doc_id: r.cleaned_text for r in quality_rules.clean_lines(table(spark, "documents")).collect()}
+    for i, t in texts(spark).items():
+        keep, lost = [], []
+        for line in t.split("\n"):
+            w = re.findall(WORD, line)
+            marked = len(re.findall(r"[#*$%&<>]{2,}|!!+", line))
+            cells = len(re.findall("[|»›·•]", line))
+            plain = not re.search("[.,;:!?'\"()\\-–-…。，]", line)
+            bad = bool(w) and (marked and 4 * marked >= len(w) or len(w) >= 30 and plain or cells >= 2 and len(w) <= 5 * (cells + 1) or len(w) <= 20 and quality_rules._FURNITURE.search(line.encode()))
+            (lost if bad else keep).append(line)
+        r = got[i]
+        n = sum(len(re.findall(WORD, x)) for x in lost)
+        assert cleaned[i] == "\n".join(keep) and r.cleaned_sha256 == hashlib.sha256("\n".join(keep).encode()).hexdigest()
+        assert (r.n_lost_lines, r.n_lost_words, r.n_lost_chars) == (len(lost), n, sum(map(len, lost))) and r.kept == (not r.base_failed and n <= 0.4 * r.n_words)
+
+
+def test_lists_of_any_size(spark):
+    """The shuffled join gives what the broadcast one does; columns named like the new ones are replaced."""
+    pages = table(spark, "pages").select("url").withColumn("fetched", F.lit("2024-01-20").cast("timestamp_ntz")).withColumns({c: F.lit("old") for c in ("host", "_u", "_url", "_n", "c0")})
+    entries = url_filters.drawn_entries(pages)
+    a, b = (url_filters.screened(pages, entries, few=n) for n in (10**6, 0))
+    assert a.columns == [c for c in pages.columns if c != "host"] + ["host", "n_active", "matched"]
+    assert Counter(a.collect()) == Counter(b.collect()) and a.where("n_active > 0").count() > 0
