@@ -249,8 +249,8 @@ def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support:
     told, names = map(saved, disclosures(texts, docs, copies, posterior=posterior, bits=bits, support=support, elsewhere=elsewhere))
     terms = bloom_of(_term_hashes(told.select("term").distinct()))
     rows = docs if terms.bits.any() else docs.limit(0)
-    places = rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), terms, bloom_of(_term_hashes(names))), "uid string, text_hash bigint, term string, start int, stop int")
-    mine = places.join(told, ["text_hash", "term"], "left_semi").unionByName(places.join(names, "term", "left_semi")) if not names.isEmpty() else places.join(told, ["text_hash", "term"], "left_semi")
+    places = saved(rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), terms, bloom_of(_term_hashes(names))), "uid string, text_hash bigint, term string, start int, stop int"))
+    mine = places.join(told, ["text_hash", "term"], "left_semi").unionByName(places.join(names, "term", "left_semi"))
     more = mine.select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     both = scan.join(more.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left")
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("stop")))
