@@ -253,18 +253,18 @@ def cycle_roots(edges: DataFrame, most: int = 5_000_000) -> DataFrame:
     return _sequential(edges.select("src", "dst").distinct(), walk, "cycles long, callers long, penalty double", most)
 
 
-def cyclic(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """Edges of the part in which every node has a way in and a way out: all cycles and what lies between them.
 
-    Ends are peeled off round by round; without cycles nothing stays.
+    Ends are peeled off round by round until none is left, so long chains take as many rounds as half their length;
+    without cycles nothing stays.
     """
     e = kept(edges.select("src", "dst").distinct())
     n = e.count()
-    for _ in range(rounds):
+    while True:
         into, out = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
         e = kept(e.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
         m = e.count()
         if m == n:
-            break
+            return e
         n = m
-    return e

@@ -1,6 +1,7 @@
 """Python sources as tables: chunks, symbols, calls, definitions and uses, asynchronous patterns.
 
-Each file is parsed once; every kind of row comes from that tree. Files that don't parse have no rows.
+A file is parsed once for each kind of row asked for. Files that don't parse, or are nested too deep, have no rows but one
+of kind ``failed``.
 """
 
 from __future__ import annotations
@@ -20,8 +21,17 @@ KINDS = {
     "bases": "path string, scope string, base string, ord int",
     "call_sites": "path string, func string, callee string, line int, ord int, args array<string>, keywords array<struct<name: string,expr: string>>, assigned_to string",
     "returns": "path string, func string, line int, expr string",
+    "failed": "path string, error string",
 }
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
+# Callees that are no functions of a repository.
+BUILTINS = frozenset(
+    """print len range str int float list dict set tuple open close read write append extend strip split join format upper
+    lower startswith endswith replace find count items keys values get pop update clear sort reverse enumerate zip map
+    filter sum min max abs round isinstance hasattr getattr setattr callable type super compile dump load loads dumps json
+    findall search remove insert copy deepcopy randint randn squeeze tanh matmul reduce_sum softmax expand_dims
+    generate_content render_template""".split()
+)
 _FORMS = {ast.List: "list", ast.Dict: "dict", ast.Set: "set", ast.Tuple: "tuple"}
 
 
@@ -37,15 +47,19 @@ def _type(node: ast.AST | None) -> str | None:
     return _name(node.func) if isinstance(node, ast.Call) else _FORMS.get(type(node))
 
 
-def _scoped(tree: ast.AST, scopes: tuple[str, ...] = ("global",), classes: tuple[str, ...] = (), func: str | None = None) -> Iterator[tuple]:
-    for node in ast.iter_child_nodes(tree):
+def _scoped(tree: ast.AST) -> Iterator[tuple]:
+    """(node, scopes, classes, function) in source order, by a stack: depth is bounded by memory alone."""
+    todo = [(n, ("global",), (), None) for n in reversed(list(ast.iter_child_nodes(tree)))]
+    while todo:
+        node, scopes, classes, func = todo.pop()
         yield node, scopes, classes, func
         if isinstance(node, ast.ClassDef):
-            yield from _scoped(node, (*scopes, node.name), (*classes, node.name), func)
+            inner = ((*scopes, node.name), (*classes, node.name), func)
         elif isinstance(node, _DEFS):
-            yield from _scoped(node, (*scopes, node.name), classes, node.name)
+            inner = ((*scopes, node.name), classes, node.name)
         else:
-            yield from _scoped(node, scopes, classes, func)
+            inner = (scopes, classes, func)
+        todo += [(n, *inner) for n in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def _chunks(path: str, tree: ast.Module) -> Iterator[tuple]:
@@ -81,7 +95,7 @@ def _symbols(path: str, tree: ast.Module) -> Iterator[tuple]:
 
 def _calls(path: str, tree: ast.Module) -> Iterator[tuple]:
     for node, _, _, func in _scoped(tree):
-        if isinstance(node, ast.Call) and func and (callee := _name(node.func)):
+        if isinstance(node, ast.Call) and func and (callee := _name(node.func)) and callee not in BUILTINS:
             yield path, func, callee, node.lineno
 
 
@@ -148,17 +162,32 @@ def _rows(kind: str) -> Callable:
         for part in parts:
             out: list[tuple] = []
             for path, content in zip(part["path"], part["content"], strict=True):
-                try:
-                    out += _ROWS[kind](path, ast.parse(content or ""))
-                except (SyntaxError, ValueError):
-                    continue
+                tree, why = _parsed(content)
+                if kind == "failed":
+                    out += [(path, why)] if tree is None else []
+                elif tree is not None:
+                    try:
+                        out += list(_ROWS[kind](path, tree))
+                    except RecursionError:  # only in printing an expression; its file is in ``failed``
+                        continue
             yield pd.DataFrame(out, columns=columns)
 
     return f
 
 
+def _parsed(content: str | None) -> tuple[ast.Module | None, str | None]:
+    try:
+        tree = ast.parse(content or "")
+        for node in ast.walk(tree):  # what the extractors print must be printable
+            if isinstance(node, (ast.Return, ast.Call)):
+                ast.unparse(node)
+        return tree, None
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return None, type(e).__name__
+
+
 def extract(files: DataFrame, kind: str) -> DataFrame:
-    """Rows of one kind (see KINDS) from ``files`` (path, content)."""
+    """Rows of one kind (see KINDS) from ``files`` (path, content). ``failed`` lists the files that have none, and why."""
     return files.select("path", "content").mapInPandas(_rows(kind), KINDS[kind])
 
 

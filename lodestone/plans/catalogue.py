@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import authors, chunks, graph, python_code, vectors
 
-from . import code_queries, portable
+from . import code_queries, health_queries, portable
 from .dialect import load, oracle, plan
 
 QUERIES = {name: plan(sql) for name, sql in portable.SQL.items()}
@@ -161,5 +161,5 @@ ORACLES |= {
     "window_counts": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 
-QUERIES |= code_queries.QUERIES
-ORACLES |= code_queries.ORACLES
+QUERIES |= code_queries.QUERIES | health_queries.QUERIES
+ORACLES |= code_queries.ORACLES | health_queries.ORACLES

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What a scan leaves out and what it takes.
-SKIP_DIRS = [".git", "node_modules", "__pycache__", "dist", "build", ".venv", "venv", "vendor", "target"]
-LOCK_FILES = ["package-lock.json", "yarn.lock", "poetry.lock", "Pipfile.lock", "Cargo.lock"]
-GENERATED = "generated by|auto-generated|autogenerated|do not edit|@generated|code generated"
+# What a scan leaves out and what it takes. Names are compared in lower case.
+SKIP_DIRS = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", ".next", "coverage", "vendor", "third_party", "target", "out", ".turbo"]
+LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "cargo.lock", "composer.lock"]
+SKIP_SUFFIXES = [".min.js", ".min.css", ".bundle.js", ".generated.js", ".generated.ts", ".generated.tsx", ".g.dart", ".pb.go", ".designer.cs"]
+GENERATED = "@generated|@auto-generated|auto-generated|autogenerated|generated by|do not edit"
 EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rs", ".c", ".cpp", ".h"]
 MAX_BYTES = 1_500_000
 
@@ -22,10 +25,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
 
 
+def listed(path: Column, folders: list[str] = SKIP_DIRS) -> Column:
+    """Whether names alone let a relative path pass: folders, lock files and suffixes, in lower case."""
+    parts = F.split(F.lower(path), "/")
+    suffixes = "|".join(x.replace(".", r"\.") for x in SKIP_SUFFIXES)
+    return ~F.arrays_overlap(parts, F.array(*map(F.lit, folders))) & ~F.element_at(parts, -1).isin(LOCK_FILES) & ~F.lower(path).rlike(f"(?:{suffixes})$")
+
+
 def scannable(path: Column, size: Column) -> Column:
-    """By listing alone: extension, directories, lock files and size."""
-    parts = F.split(path, "/")
-    return extension(path).isin(EXTENSIONS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_DIRS))) & ~F.element_at(parts, -1).isin(LOCK_FILES) & (size <= MAX_BYTES)
+    """By listing alone, of a path relative to the tree's top: extension, folders, lock files, suffixes and size."""
+    return extension(path).isin(EXTENSIONS) & listed(path) & (size <= MAX_BYTES)
 
 
 def generated(content: Column) -> Column:
@@ -33,27 +42,57 @@ def generated(content: Column) -> Column:
 
 
 def tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, ext, size, sha, content) of the scannable files under ``folder``; the filter runs on the listing first."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    x = raw.where(scannable(F.col("path"), F.col("length")))
+    """(path, ext, size, sha, content) of the scannable files under ``folder``, paths relative to it.
+
+    The filter runs on the listing (path and length), so left-out files are not read.
+    """
+    top = folder.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
+    own = F.regexp_replace(F.col("path"), "^[a-z0-9+.-]+:/*", "/")
+    start = len(re.sub("^[a-z0-9+.-]+:/*", "/", top)) + 2
+    x = raw.where(scannable(F.substr(own, F.lit(start)), F.col("length"))).withColumn("path", F.substr(own, F.lit(start)))
     x = x.select("path", extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.sha1("content").alias("sha"), F.decode("content", "UTF-8").alias("content"))
     return x.where(~generated(F.col("content")))
 
 
+_BAD_PATH = re.compile(r"(?:^|/)(?:%s)(?:/|$)" % "|".join(map(re.escape, SKIP_DIRS)))
+
+
+def _wanted(path: str, size: int) -> bool:
+    """``scannable``, for a member of an archive before it is unpacked."""
+    low = path.lower()
+    return size <= MAX_BYTES and low.endswith(tuple(EXTENSIONS)) and not low.endswith(tuple(SKIP_SUFFIXES)) and not _BAD_PATH.search(low) and low.rsplit("/", 1)[-1] not in LOCK_FILES
+
+
 def archives(spark: SparkSession, glob: str) -> DataFrame:
-    """(archive, path, size, content) of the files in ZIP archives; a single root folder is taken off."""
+    """(archive, path, size, content, error) of the scannable files in ZIP archives; a single root folder is taken off.
+
+    Members are filtered before they are unpacked. An archive or member that can't be read has one row with the
+    ``error`` and no content, so it is neither lost unseen nor fails the job.
+    """
+    columns = ["archive", "path", "size", "content", "error"]
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    infos = [i for i in z.infolist() if not i.is_dir()]
-                    roots = {i.filename.split("/")[0] for i in infos}
-                    cut = len(next(iter(roots))) + 1 if len(roots) == 1 and all("/" in i.filename for i in infos) else 0
-                    for i in infos:
-                        yield pd.DataFrame([(name, i.filename[cut:], i.file_size, z.read(i).decode("utf-8", "replace"))], columns=["archive", "path", "size", "content"])
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unpack, "archive string, path string, size long, content string").where(scannable(F.col("path"), F.col("size")))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        infos = [i for i in z.infolist() if not i.is_dir()]
+                        roots = {i.filename.split("/")[0] for i in infos}
+                        cut = len(next(iter(roots))) + 1 if len(roots) == 1 and all("/" in i.filename for i in infos) else 0
+                        for i in infos:
+                            path = i.filename[cut:]
+                            if not _wanted(path, i.file_size):
+                                continue
+                            try:
+                                row = (name, path, i.file_size, z.read(i).decode("utf-8", "replace"), None)
+                            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+                                row = (name, path, i.file_size, None, type(e).__name__)
+                            yield pd.DataFrame([row], columns=columns)
+                except zipfile.BadZipFile as e:
+                    yield pd.DataFrame([(name, None, None, None, type(e).__name__)], columns=columns).astype({"size": "Int64"})
+
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unpack, "archive string, path string, size long, content string, error string")
 
 
 def numstat(lines: DataFrame) -> DataFrame:
