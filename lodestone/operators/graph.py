@@ -23,6 +23,10 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Frontiers of at most this many nodes, counted, are sent to the edges; wider ones are joined by shuffle.
+BROADCAST_NODES = 1_000_000
+
+
 def directed(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """Edges as (src, dst, type) to walk along: out, in or both; only of the types given."""
     e = edges.select("src", "dst", "type")
@@ -33,15 +37,20 @@ def directed(edges: DataFrame, direction: str = "out", types: list[str] | None =
 
 
 def bfs(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-    """(node, depth) of all nodes at most ``depth`` hops from ``anchors`` (node); anchors have depth 0."""
-    e = directed(edges, direction, types).select("src", "dst").distinct()
+    """(node, depth) of all nodes at most ``depth`` hops from ``anchors`` (node); anchors have depth 0.
+
+    Equal edges need no removal: what a hop reaches is made distinct, and only that is shuffled while the frontier is small.
+    """
+    e = directed(edges, direction, types).select("src", "dst")
     seen = kept(anchors.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for hop in range(1, depth + 1):
-        reached = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = kept(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0:
             break
+        near = F.broadcast(frontier) if n <= BROADCAST_NODES else frontier
+        reached = e.join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = kept(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -191,6 +191,28 @@ def symbol_matches(names: DataFrame, words: list[str], least: float = 0.6) -> Da
     return names.select("symbol_name").distinct().withColumn("confidence", best).where("confidence IS NOT NULL")
 
 
+def keyword_matches(names: DataFrame, words: DataFrame, least: float = 0.6) -> DataFrame:
+    """(word, symbol_name, confidence): as ``symbol_matches`` for a table of words (word), a row per match.
+
+    Whatever holds the other's stem at a ratio of lengths of ``least`` has it among its substrings of such lengths, so the
+    two sides meet on these by equality. A name of n characters has at most n * n / 4 of them. Empty names, words below
+    three characters and nulls match nothing; repeated names and words count once.
+    """
+    a = names.select("symbol_name", tx.stem(F.lower("symbol_name")).alias("s")).where("s <> ''").distinct()
+    b = words.select(F.lower("word").alias("word")).where(F.length("word") > 2).distinct().withColumn("t", tx.stem(F.col("word")))
+
+    def parts(of: str) -> Column:
+        n = F.length(of)
+        lengths = F.sequence(F.greatest(F.lit(1), F.floor(n * least).cast("int")), F.greatest(F.lit(1), n))
+        cut = F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(F.col(of), i, k)))
+        return F.explode(F.array_distinct(F.flatten(cut)))
+
+    inside = a.select("*", parts("s").alias("t")).join(b, "t").select("word", "symbol_name", "s", "t")
+    around = b.select("*", parts("t").alias("s")).join(a, "s").where("s <> t").select("word", "symbol_name", "s", "t")
+    ratio = F.least(F.length("s"), F.length("t")) / F.greatest(F.length("s"), F.length("t"))
+    return inside.unionByName(around).withColumn("confidence", ratio).where(F.col("confidence") >= least).select("word", "symbol_name", "confidence")
+
+
 def locality(question: str) -> Column:
     """0.5; 0.2 for functions and classes, 0.1 off the peripheral paths, 0.15 where path and question share a word; at most 1."""
     path, kind = F.lower(_text("path")), F.lower(_text("node_type"))

@@ -44,6 +44,7 @@ def anchored_search(vectors: DataFrame, query: DataFrame, edges: DataFrame, k: i
 
     Vectors without a node are dropped. Anchors come first by depth; a node that is both keeps the anchor row.
     """
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    anchors = nearest(vectors, query, k).select(F.col("vec_id").alias("node")).join(ends, "node", "left_semi")
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    found = F.broadcast(nearest(vectors, query, k).select(F.col("vec_id").alias("node")))  # k rows
+    anchors = ends.join(found, "node").distinct()
     return bfs(edges, anchors, depth, "both").withColumn("is_anchor", F.col("depth") == 0)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import chunks, file_stats, graph, knowledge, python_code, questions, ranking, vectors
 
 from .dialect import load
@@ -73,15 +75,30 @@ def symbol_driven_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that call parts, few enough to have long ways: with cycles, since low numbers are on both sides."""
-    e = load(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 40")
-    return e.select((F.col("l_partkey") % 97).alias("src"), (F.col("l_suppkey") * 7 % 89).alias("dst"), F.when(F.col("l_returnflag") == "R", "calls").when(F.col("l_returnflag") == "A", "dataflow").otherwise("contains").alias("type")).distinct()
+    """Parts that call the part on the next line of an order, over all of lineitem: at most three calls of each part.
+
+    A part calls the next part of its first order, passes data to that of its last order and contains that of its
+    greatest line. So ways are long and cycles few, at any size.
+    """
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    following = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))  # an order has few lines
+    at = F.struct("l_orderkey", "l_linenumber", "dst")
+    x = line.withColumn("dst", following).where("dst IS NOT NULL").groupBy(F.col("l_partkey").alias("src"))
+    x = x.agg(F.min(at)["dst"].alias("calls"), F.max(at)["dst"].alias("dataflow"), F.max(F.struct("l_quantity", "l_orderkey", "l_linenumber", "dst"))["dst"].alias("contains"))
+    return x.unpivot("src", ["calls", "dataflow", "contains"], "type", "dst").select("src", "dst", "type")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
 
 
+def keyword_match_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All part names as symbols; these and their words as keywords."""
+    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("symbol_name")).distinct()
+    words = names.select(F.explode(F.concat(F.array("symbol_name"), F.split("symbol_name", " "))).alias("word"))
+    return ranking.keyword_matches(names, words).select("word", "symbol_name", F.round("confidence", 6).alias("confidence"))
+
+
 def boot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = _calls(spark, sf_dir), _names(spark, sf_dir)
     return graph.boot_chain(e, graph.boot_entries(e, n), n, 4)
@@ -125,7 +142,7 @@ def naming_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stats.naming_violations(p.select(F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.lit("java").alias("language"))).groupBy("kind", "expected", "actual").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in [query_intent, query_constraints, query_filters, query_keywords, query_symbols, contribution_query_flag, chunk_boundaries, hybrid_rerank, unified_rank, symbol_driven_rank, boot_chain, preferred_path, depth_first, cycle_roots, cyclic_part, py_graph_nodes, py_graph_edges, file_metrics, naming_violations]}
+QUERIES = {f.__name__: f for f in [query_intent, query_constraints, query_filters, query_keywords, query_symbols, contribution_query_flag, chunk_boundaries, hybrid_rerank, unified_rank, symbol_driven_rank, keyword_match_symbols, boot_chain, preferred_path, depth_first, cycle_roots, cyclic_part, py_graph_nodes, py_graph_edges, file_metrics, naming_violations]}
 
 
 def _re2(patterns: list[str]) -> str:
@@ -160,7 +177,15 @@ _HYBRID = " + ".join(
         _ON("regexp_matches(lower(path), 'utils|helpers|lib')", 0.15),
     ]
 )
-_E = "e AS (SELECT DISTINCT l_partkey % 97 AS src, l_suppkey * 7 % 89 AS dst, CASE l_returnflag WHEN 'R' THEN 'calls' WHEN 'A' THEN 'dataflow' ELSE 'contains' END AS type FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 40)"
+_E = """s AS (SELECT l_partkey AS src, l_orderkey AS o, l_linenumber AS n, l_quantity AS q, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY o, n, dst) AS first, row_number() OVER (PARTITION BY src ORDER BY o DESC, n DESC, dst DESC) AS last,
+        row_number() OVER (PARTITION BY src ORDER BY q DESC, o DESC, n DESC, dst DESC) AS most FROM s WHERE dst IS NOT NULL),
+        e AS (SELECT src, dst, 'calls' AS type FROM r WHERE first = 1 UNION ALL SELECT src, dst, 'dataflow' FROM r WHERE last = 1 UNION ALL SELECT src, dst, 'contains' FROM r WHERE most = 1)"""
+
+
+def _stem(word: str) -> str:
+    fits = (f"WHEN ends_with({word}, '{x}') AND length({word}) > {len(x) + 2} THEN left({word}, length({word}) - {len(x)})" for x in text.SUFFIXES)
+    return f"CASE {' '.join(fits)} ELSE {word} END"
 
 
 def _levels(depth: int) -> str:
@@ -199,6 +224,9 @@ ORACLES = {
         len(regexp_extract_all(text, '(?m)^\s*def\s+\w+\s*\(')) AS num_functions, len(regexp_extract_all(text, '(?m)^\s*(?:import|from)\s+')) AS num_imports FROM l""",
     "naming_violations": "SELECT 'function' AS kind, 'camelCase' AS expected, CASE WHEN regexp_matches(substr(p_name, 2), '[A-Z]') THEN 'camelCase' ELSE 'snake_case' END AS actual, count(*) AS n FROM part WHERE NOT starts_with(p_name, '_') AND NOT regexp_matches(p_name, '^[a-z][a-zA-Z0-9]*$') GROUP BY ALL",
     "hybrid_rerank": f"WITH {_CANDIDATES} SELECT doc_id, round({_HYBRID}, 6) AS score FROM c ORDER BY score DESC, doc_id LIMIT 10",
+    "keyword_match_symbols": f"""WITH n AS (SELECT DISTINCT p_name AS name, {_stem("lower(p_name)")} AS s FROM part), k AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(list_append(string_split(name, ' '), name)) AS word FROM n) z WHERE length(word) > 2),
+        t AS (SELECT word, {_stem("word")} AS t FROM k), m AS (SELECT *, least(length(s), length(t)) / greatest(length(s), length(t))::DOUBLE AS ratio FROM n JOIN t ON contains(s, t) OR contains(t, s))
+        SELECT word, name AS symbol_name, round(ratio, 6) AS confidence FROM m WHERE ratio >= 0.6::DOUBLE""",
     "boot_chain": f"""WITH {_E}, u AS (SELECT DISTINCT src, dst FROM e), o AS (SELECT src AS node, count(*) AS callees FROM u GROUP BY src), i AS (SELECT dst AS node, count(*) AS callers FROM u GROUP BY dst),
         entries AS (SELECT node FROM o LEFT JOIN i USING (node) ORDER BY least(callees, 5) - least(coalesce(callers, 0), 3) DESC, coalesce(callers, 0) DESC, callees, node DESC LIMIT 5), {_levels(4)}
         SELECT node, depth, CASE WHEN depth > 0 THEN path[-2] END AS called_by, coalesce(callees, 0) AS callees, depth = 0 AS is_entry, depth > 0 AND callees IS NULL AS is_ready FROM n4 LEFT JOIN o USING (node)""",
@@ -208,7 +236,7 @@ ORACLES = {
           FROM c LEFT JOIN m ON c.sym = m.sym LEFT JOIN h ON c.sym = h.sym),
         r AS (SELECT *, row_number() OVER (PARTITION BY is_direct ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE is_direct) OVER () AS n FROM s)
         SELECT doc_id, is_direct, score FROM r WHERE CASE WHEN is_direct THEN r <= 2 ELSE r <= 10 - n END""",
-    "cyclic_part": f"""WITH RECURSIVE {_E}, u AS (SELECT DISTINCT src, dst FROM e WHERE type = 'dataflow'), r AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON r.dst = u.src),
-        k AS (SELECT DISTINCT src AS node FROM r WHERE src = dst), h AS (SELECT node FROM k UNION SELECT dst FROM r WHERE src IN (SELECT node FROM k)), t AS (SELECT node FROM k UNION SELECT src FROM r WHERE dst IN (SELECT node FROM k))
+    "cyclic_part": f"""WITH RECURSIVE {_E}, u AS (SELECT DISTINCT src, dst FROM e WHERE type = 'dataflow'), w AS (SELECT src, dst FROM u UNION SELECT w.src, u.dst FROM w JOIN u ON w.dst = u.src),
+        k AS (SELECT DISTINCT src AS node FROM w WHERE src = dst), h AS (SELECT node FROM k UNION SELECT dst FROM w WHERE src IN (SELECT node FROM k)), t AS (SELECT node FROM k UNION SELECT src FROM w WHERE dst IN (SELECT node FROM k))
         SELECT src, dst FROM u WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM t)""",
 }

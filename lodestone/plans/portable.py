@@ -101,8 +101,6 @@ SQL = {
     "dominant_lang": "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM {documents} WHERE lang IS NOT NULL GROUP BY source, lang) t WHERE r = 1",
     "exact_dedup_docs": "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY md5(text)",
     "duplicate_names": "SELECT p_name, count(DISTINCT p_brand) AS files FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1",
-    "keyword_match_symbols": """WITH k AS (SELECT DISTINCT substr(p_name, 1, 4) AS keyword FROM {part} WHERE p_partkey <= 20), s AS (SELECT DISTINCT p_name FROM {part})
-        SELECT keyword, p_name, CASE WHEN p_name = keyword THEN 1.0 ELSE round(length(keyword) * 1.0 / length(p_name), 6) END AS confidence FROM s JOIN k ON substr(s.p_name, 1, 4) = k.keyword""",
     "scan_filter": """SELECT page_id, url FROM {pages} WHERE length(html) <= 1500000 AND RC(url, '/(de|fr)/') > 0 AND url NOT LIKE '%#top'""",
     "priority_order": "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 0 WHEN url LIKE '%utm_source%' THEN 1 ELSE 2 END AS priority, length(html) AS size FROM {pages}",
     "api_rows": "SELECT doc_id, coalesce(lang, '') AS lang, substr(text, 1, 2000) AS text FROM {documents}",

@@ -159,3 +159,23 @@ def test_knowledge_graph(spark):
     props = next(r.props for r in e.collect() if r.kind == "interprocedural_call")
     assert '{"name":"x","expr":"n"}' in props and '{"name":"y","expr":"2"}' in props and '"assigned_to":"total"' in props
     assert knowledge.build(python_code.fixture(spark).limit(0))[1].count() == 0
+
+
+def test_keywords_meet_symbols_as_one_by_one(spark):
+    names = ["parser", "parsing", "Parse", "pars", "a", "", None, "ring", "load_config", "config", "parser"]
+    words = ["PARSED", "config", "load_config", "in", None, "rings", "parse", "parse"]
+    found = ranking.keyword_matches(spark.createDataFrame([(n,) for n in names], "symbol_name string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    expected = []
+    for w in sorted({w.lower() for w in words if w and len(w) > 2}):
+        one = ranking.symbol_matches(spark.createDataFrame([(n,) for n in names if n], "symbol_name string"), [w])
+        expected += [(w, r.symbol_name, round(r.confidence, 9)) for r in one.collect()]
+    assert sorted((r.word, r.symbol_name, round(r.confidence, 9)) for r in found.collect()) == sorted(expected)
+    assert len(expected) > 5
+
+
+def test_wide_frontiers_reach_the_same(spark, monkeypatch):
+    e = spark.createDataFrame([(i, (i * 7 + 3) % 50, "x") for i in range(50)] + [(1, 2, "x"), (1, 2, "x")], "src long, dst long, type string")
+    at = spark.createDataFrame([(1,), (4,)], "node long")
+    near = rows(graph.bfs(e, at, 4, "both"))
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    assert rows(graph.bfs(e, at, 4, "both")) == near
