@@ -5,22 +5,23 @@ over the corpus counts the shingles of the items; ordered by that rarity, the co
 makes the rarest shingle the whole necessary prefix. A second pass joins document shingles with those prefixes only,
 drops candidates whose window would start before the text or end after it, and compares the words that are left
 one by one. Items are taken in blocks of ``block_bytes``, and a block is what each task holds: the driver reads
-item texts block by block, whatever the benchmark's size. Documents are never shuffled; counts follow the block.
+item texts block by block, whatever the benchmark's size. Counts follow the block. With one block documents are not
+shuffled; of further blocks only the hits are kept, by text, and joined to the documents once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, saved, table
-from .words import Tokens, folded, inner, text_slices, windows
+from .shared import bounded_batches, quoted, table
+from .words import Tokens, inner, text_slices, windows
 
 SHINGLE = 3
 
@@ -30,39 +31,54 @@ def _hashes(x: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Index:
-    """The windows of one block of items, and their shingles by length."""
+    """The windows of one block of items: the block's words once, and where each different window starts in them.
+
+    A window's shingles are those of the block that start inside it, so they are hashed once for all windows.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.windows: list[list[bytes]] = []
+        x = Tokens([text.encode("utf-8", "surrogatepass") if text else None for _, text in items], fold=True)
+        self.words = [w for i in range(len(items)) for w in x.words(i)]
         self.owners: list[set[str]] = []
-        seen: dict[tuple[bytes, ...], int] = {}
-        for item, text in items:
-            words = folded(text.encode("utf-8", "surrogatepass") if text else None)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                w = tuple(words[i : i + n])
-                k = seen.setdefault(w, len(self.windows))
-                if k == len(self.windows):
-                    self.windows.append(list(w))
+        starts, sizes = [], []
+        seen: dict[bytes, int] = {}
+        for (item, _), first, m in zip(items, x.first.tolist(), x.lengths.tolist(), strict=False):
+            n = min(window, m)
+            for p in range(first, first + m - n + 1 if n else first):
+                k = seen.setdefault(b" ".join(self.words[p : p + n]), len(starts))
+                if k == len(starts):
+                    starts.append(p)
+                    sizes.append(n)
                     self.owners.append(set())
                 if item is not None:
                     self.owners[k].add(item)
-        self.shingles: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.of: list[tuple[int, np.ndarray]] = []
-        for w in self.windows:
-            n = min(SHINGLE, len(w))
-            h = windows(Tokens([b" ".join(w)]).ids, n)
-            self.shingles[n].append(h)
-            self.of.append((n, h))
-        self.known = {n: np.unique(np.concatenate(h)) for n, h in self.shingles.items()}
+        self.start, self.size = np.array(starts, np.int64), np.array(sizes, np.int64)
+        self._hash = {n: windows(x.ids, n) for n in {min(SHINGLE, n) for n in sizes}}
+        self.known = {n: np.unique(self._shingles(n)[1]) for n in self._hash}
+
+    def _shingles(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows cut into shingles of ``n`` words: the windows, and for each of their shingles hash and window."""
+        of = np.flatnonzero(np.minimum(self.size, SHINGLE) == n)
+        many = self.size[of] - n + 1
+        row = np.repeat(np.arange(len(of)), many)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        return of, self._hash[n][self.start[of][row] + offset], row
 
     def prefixes(self, count: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
         """By shingle length: the sorted prefix shingles, and each one's (window, offset of the shingle)."""
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (n, h) in enumerate(self.of):
-            offset = min(range(len(h)), key=lambda i: (count.get((n, int(h[i])), 0), int(h[i])))
-            at[n][int(h[offset])].append((k, offset))
-        return {n: (np.array(sorted(x), np.uint64), [x[v] for v in sorted(x)]) for n, x in at.items()}
+        out = {}
+        for n, known in self.known.items():
+            of, h, row = self._shingles(n)
+            found = np.array([count.get((n, int(v)), 0) for v in known.tolist()], np.int64)
+            order = np.lexsort((h, found[np.searchsorted(known, h)], row))  # the rarest first; of equal ones the first in the window
+            best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+            offset = best - np.searchsorted(row, np.arange(len(of)))
+            keys, which = np.unique(h[best], return_inverse=True)
+            places: list[list[tuple[int, int]]] = [[] for _ in keys]
+            for q, k, o in zip(which.tolist(), of.tolist(), offset.tolist(), strict=True):
+                places[q].append((k, o))
+            out[n] = keys, places
+        return out
 
 
 def _found(h: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +103,10 @@ def _count(known: dict[int, np.ndarray]) -> Callable:
     return f
 
 
-def _join(index: _Index, prefixes: dict) -> Callable:
+def _join(index: _Index, prefixes: dict, only_hits: bool = False) -> Callable:
+    """``_n_words``, ``_hits`` and ``_items`` beside the columns; ``only_hits``: of hit texts alone, with their MD5 as ``_text_md5``."""
+    words, start_of, size_of, owners_of = index.words, index.start.tolist(), index.size.tolist(), index.owners
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits: list[list[int]] = [[]] * batch.num_rows
@@ -104,7 +123,7 @@ def _join(index: _Index, prefixes: dict) -> Callable:
                     texts_of = np.searchsorted(x.first, hit, "right") - 1
                     for p, q, t in zip(hit.tolist(), which.tolist(), texts_of.tolist(), strict=True):
                         for k, offset in places[q]:
-                            w = index.windows[k]
+                            w = words[start_of[k] : start_of[k] + size_of[k]]
                             start = p - offset
                             if start < x.first[t] or start + len(w) > x.first[t + 1]:  # length and position
                                 continue
@@ -112,10 +131,15 @@ def _join(index: _Index, prefixes: dict) -> Callable:
                                 spot, owners = marked.setdefault(t, (set(), set()))
                                 start -= int(x.first[t])
                                 spot.update(range(start, start + len(w)))
-                                owners |= index.owners[k]
+                                owners |= owners_of[k]
                 sizes[first : first + len(texts)] = x.lengths.tolist()
                 for t, (spot, owners) in marked.items():
                     hits[first + t], items[first + t] = sorted(spot), sorted(owners)
+            if only_hits:
+                some = [t for t, h in enumerate(hits) if h]
+                texts = [hashlib.md5(batch.column("text")[t].as_buffer(), usedforsecurity=False).digest() for t in some]
+                yield pa.RecordBatch.from_pydict({"_text_md5": pa.array(texts, pa.binary()), "_hits": pa.array([hits[t] for t in some], pa.list_(pa.int64())), "_items": pa.array([items[t] for t in some], pa.list_(pa.string()))})
+                continue
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "_n_words", "_hits", "_items"])
 
     return f
@@ -142,25 +166,27 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
     without an id marks words but is not listed. An empty benchmark leaves every document clean.
     """
     bounded_batches(docs.sparkSession)
-    out, schema = docs, docs.schema.simpleString()[7:-1]
-    more = "_n_words: bigint, _hits: array<bigint>, _items: array<string>"
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{plain}, {more}"
+    plain = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    texts, out, others = docs.select(F.col("text").cast("string").alias("text")), docs, []
     for number, block in enumerate(_blocks(items, block_bytes)):
         index = _Index(block, window)
         count: dict[tuple[int, int], int] = {}
         if index.known:
-            found = docs.select("text").mapInArrow(_count(index.known), "n long, shingle long, found long").groupBy("n", "shingle").agg(F.sum("found").alias("found"))
+            found = texts.mapInArrow(_count(index.known), "n long, shingle long, found long").groupBy("n", "shingle").agg(F.sum("found").alias("found"))
             count = {(r.n, r.shingle % 2**64): r.found for r in found.toLocalIterator()}
         prefixes = index.prefixes(count)
         if number == 0:
-            out = docs.mapInArrow(_join(index, prefixes), schema)
-        else:  # each further block adds to what the last one found
-            old = saved(out).withColumnsRenamed({"_n_words": "_old_n", "_hits": "_old_hits", "_items": "_old_items"})
-            wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in old.schema.fields)
-            new = old.mapInArrow(_join(index, prefixes), f"{wide}, {more}")
-            out = new.withColumns({"_hits": F.array_sort(F.array_union("_old_hits", "_hits")), "_items": F.array_sort(F.array_union("_old_items", "_items"))}).drop("_old_n", "_old_hits", "_old_items")
-    return out
+            out = docs.mapInArrow(_join(index, prefixes), f"{plain}, _n_words: bigint, _hits: array<bigint>, _items: array<string>")
+        elif index.known:
+            others.append(texts.mapInArrow(_join(index, prefixes, only_hits=True), "_text_md5 binary, _hits array<bigint>, _items array<string>"))
+    if not others:
+        return out
+    # equal texts have equal hits, so a group has one entry a block; documents are shuffled once for all further blocks
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    more = reduce(DataFrame.unionByName, others).groupBy("_text_md5").agg(union("_hits").alias("_more_hits"), union("_items").alias("_more_items"))
+    found = out.withColumn("_text_md5", F.unhex(F.md5(F.col("text").cast("binary")))).join(more, "_text_md5", "left")
+    added = {c: F.when(F.col(m).isNull(), F.col(c)).otherwise(F.array_sort(F.array_union(c, m))) for c, m in (("_hits", "_more_hits"), ("_items", "_more_items"))}
+    return found.withColumns(added).drop("_text_md5", "_more_hits", "_more_items")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

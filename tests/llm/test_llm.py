@@ -1,6 +1,7 @@
 """The ten operators and the pipeline: SQL on the smallest tables, brute force, round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -499,3 +500,32 @@ def test_lists_of_any_size(spark):
     a, b = (url_filters.screened(pages, entries, few=n) for n in (10**6, 0))
     assert a.columns == [c for c in pages.columns if c != "host"] + ["host", "n_active", "matched"]
     assert Counter(a.collect()) == Counter(b.collect()) and a.where("n_active > 0").count() > 0
+
+
+@pytest.mark.parametrize("block_bytes", [1, 60, 1 << 20])
+def test_contamination_by_blocks_against_brute_force(spark, block_bytes):
+    """One item a block, several, all in one: the same, and what comparing every window with every place says."""
+    rng = random.Random(5)
+    words = [f"W{i}" for i in range(12)] + ["é", "漢字"]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(f"i{k}", draw(n)) for k, n in enumerate([1, 2, 3, 4, 9, 10, 11, 30])]
+    items += [("again", items[6][1]), (None, items[5][1].lower()), ("i7", "W1, w2"), ("none", None), ("empty", "")]
+    texts = [draw(n) for n in (0, 1, 5, 40)] + [f"{draw(7)} {t}. {draw(3)}" for _, t in items if t] + [None, "", items[7][1]] + [items[6][1]] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    want = {}
+    for d, text in enumerate(texts):
+        w, hits, names = cut(text), set(), set()
+        for name, t in items:
+            v = cut(t)
+            n = min(10, len(v))
+            for a in range(len(v) - n + 1 if n else 0):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[a : a + n]:
+                        hits.update(range(p, p + n))
+                        names |= {name} - {None}
+        want[d] = (len(w), sorted(hits), sorted(names))
+    out = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string").coalesce(1), block_bytes=block_bytes)
+    got = out.select("doc_id", "_n_words", "_hits", "_items").collect()
+    assert len(got) == len(texts) and {r.doc_id: (r._n_words, r._hits, r._items) for r in got} == want
+    assert sum(bool(h) for _, h, _ in want.values()) > 25
