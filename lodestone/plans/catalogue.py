@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import authors, chunks, graph, python_code, vectors
 
-from . import code_queries, health_queries, portable
+from . import code_queries, health_queries, portable, retrieval_queries
 from .dialect import load, oracle, plan
 
 QUERIES = {name: plan(sql) for name, sql in portable.SQL.items()}
@@ -54,9 +54,7 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = load(spark, sf_dir, "embeddings")
-    a, b = v.alias("a"), v.alias("b")
-    x = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).withColumn("c", vectors.cosine(F.col("a.embedding"), F.col("b.embedding")))
-    return x.groupBy(F.col("a.label").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.max("c"), 6).alias("most"), F.count_if(F.col("c") > 0.9).alias("alike"))
+    return vectors.pair_stats(v, "label").select("label", "pairs", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), "alike")
 
 
 def bfs_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,5 +173,5 @@ ORACLES |= {
     "window_counts": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 
-QUERIES |= code_queries.QUERIES | health_queries.QUERIES
-ORACLES |= code_queries.ORACLES | health_queries.ORACLES
+QUERIES |= code_queries.QUERIES | health_queries.QUERIES | retrieval_queries.QUERIES
+ORACLES |= code_queries.ORACLES | health_queries.ORACLES | retrieval_queries.ORACLES
