@@ -529,3 +529,18 @@ def test_contamination_by_blocks_against_brute_force(spark, block_bytes):
     got = out.select("doc_id", "_n_words", "_hits", "_items").collect()
     assert len(got) == len(texts) and {r.doc_id: (r._n_words, r._hits, r._items) for r in got} == want
     assert sum(bool(h) for _, h, _ in want.values()) > 25
+
+
+def test_the_drivers_garbage_is_collected(spark, monkeypatch):
+    """A JVM object that nothing refers to is gone once a frame is saved and the heap is past the share, and not before."""
+    jvm, now = spark._jvm, shared.time.monotonic() if hasattr(shared, "time") else 0.0
+
+    def alive(share, collected):
+        monkeypatch.setattr(shared, "HEAP_SHARE", share, raising=False)
+        monkeypatch.setattr(shared, "_collected", collected, raising=False)
+        ref = jvm.java.lang.ref.WeakReference(spark.sparkContext._gateway.new_array(jvm.byte, 1 << 20))
+        assert shared.saved(spark.range(3)).count() == 3
+        return ref.get() is not None
+
+    assert not alive(0.0, now - 60)
+    assert alive(0.0, now + 3600) and alive(1.0, now - 60)
