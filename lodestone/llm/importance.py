@@ -28,6 +28,8 @@ from .words import MULTIPLIERS, Tokens, mix, text_slices
 
 #: Positions of the n-grams, and of the pairs of words behind them.
 BUCKETS, PAIRS = 1 << 20, 1 << 20
+#: Buckets that the driver works on at a time.
+SLICE = 1 << 16
 #: Log odds that a text is good before its n-grams are seen: one n-gram that is there by chance turns nothing away.
 MARGIN = 4.0
 #: Least log ratio of an n-gram that counts as toxic: many weaker ones only tell one language from another.
@@ -78,21 +80,25 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float, significant: f
 
     Buckets where the raw count is less than ``significant`` deviations from that are 0, as are all without data.
     """
-    target, raw = target.astype(float), raw.astype(float)
-    n, m = target.sum(), raw.sum()
+    n, m, out = float(target.sum()), float(raw.sum()), np.zeros(len(target), np.float32)
     if not n or not m:
-        return np.zeros(len(target), np.float32)
-    both = (target + raw) / (n + m)
-    out = np.log((target + smooth) / (both * n + smooth)) - np.log((raw + smooth) / (both * m + smooth))
-    if significant:
-        out[np.abs(raw - both * m) < significant * np.sqrt(both * m * n / (n + m) + 0.5)] = 0
-    return out.astype(np.float32)
+        return out
+    for i in range(0, len(out), SLICE):
+        x, y = target[i : i + SLICE].astype(float), raw[i : i + SLICE].astype(float)
+        both = (x + y) / (n + m)
+        part = np.log((x + smooth) / (both * n + smooth)) - np.log((y + smooth) / (both * m + smooth))
+        if significant:
+            part[np.abs(y - both * m) < significant * np.sqrt(both * m * n / (n + m) + 0.5)] = 0
+        out[i : i + SLICE] = part
+    return out
 
 
 class Model:
-    def __init__(self, counts: np.ndarray):
-        self.raw = log_ratio(counts[0, 0], counts[:, 0].sum(0), 5)
-        toxic = log_ratio(counts[0, 1, :BUCKETS], counts[2, 1, :BUCKETS], 2, 4)  # a pair says no more of an insult than its word
+    """Of the counts of occurrences in the target and in all, and of documents in the target and the toxic ones."""
+
+    def __init__(self, target: np.ndarray, everything: np.ndarray, target_docs: np.ndarray, toxic_docs: np.ndarray):
+        self.raw = log_ratio(target, everything, 5)
+        toxic = log_ratio(target_docs, toxic_docs, 2, 4)
         self.toxic = np.where(toxic <= -STRONG, toxic, np.float32(0))
 
     def log_weights(self, texts: list[bytes | None]) -> np.ndarray:
@@ -105,6 +111,15 @@ class Model:
         return -np.logaddexp(-(raw + MARGIN), -(toxic + MARGIN))
 
 
+def _add(total: np.ndarray, counts: bytes) -> None:
+    """Adds what ``_counted`` packed, as far as ``total`` reaches."""
+    at, n = np.frombuffer(zlib.decompress(counts), np.int32).reshape(2, -1)
+    for i in range(0, int(np.searchsorted(at, len(total))), SLICE):
+        part = at[i : i + SLICE]
+        part = part[part < len(total)]
+        total[part] += n[i : i + len(part)]
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     """From at most ``train_rows`` labelled documents, by a hash of doc_id; texts that repeat count once."""
     spark = docs.sparkSession
@@ -114,12 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
     parts = max(1, train_rows // 2_500)
     rows = rows.groupBy(F.md5("text").alias("h")).agg(F.max("kind").alias("kind"), F.first("text").alias("text")).select("kind", "text").repartition(parts, F.xxhash64("text"))
-    counts = np.zeros((3, 2, BUCKETS + PAIRS), np.int64)
+    # of documents only the n-grams without pairs are counted: a pair says no more of an insult than its word
+    target, everything, *docs_of = (np.zeros(size, np.int64) for size in (BUCKETS + PAIRS, BUCKETS + PAIRS, BUCKETS, BUCKETS))
+    into = {(0, 0): [target, everything], (1, 0): [everything], (2, 0): [everything], (0, 1): docs_of[:1], (2, 1): docs_of[1:]}
     for r in rows.mapInArrow(_counted, "kind long, what long, counts binary").toLocalIterator():
-        x = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
-        counts[r.kind, r.what, x[: len(x) // 2]] += x[len(x) // 2 :]
+        for total in into.get((r.kind, r.what), ()):
+            _add(total, r.counts)
     bounded_batches(spark)
-    return Model(counts)
+    return Model(target, everything, *docs_of)
 
 
 def _weigh(model: Model, columns: int) -> Callable:

@@ -169,7 +169,7 @@ def _frequencies(held: Bloom, copied: Bloom) -> Callable:
 
 def _places(texts: Bloom, terms: Bloom, names: Bloom) -> Callable:
     """(uid, text_hash, term, start, stop): all occurrences of ``terms`` in ``texts``, and of ``names`` in any, by the filters."""
-    everywhere = bool(names.bits.any())
+    everywhere = names.any()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,7 @@ def disclosures(texts: DataFrame, docs: DataFrame, copies: DataFrame, *, posteri
     seen = texts.select(F.explode(F.transform(F.split("words", "\n"), lambda w: F.ltrim(w))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     pairs = saved(near.groupBy("entity", "term", "of_entity").agg(F.count("*").alias("both"), F.bool_and("name").alias("name")).where(F.col("both") >= support).join(seen, "term").where(exceeds("least")).drop("least"))
     held = bloom_of(_term_hashes(pairs.select("term").distinct()))
-    rows = docs if held.bits.any() else docs.limit(0)  # no candidate: no term to count
+    rows = docs if held.any() else docs.limit(0)  # no candidate: no term to count
     counts = rows.select("text", "text_hash").mapInArrow(_frequencies(held, bloom_of(copies.where("c > 1").select("text_hash"))), "term string, text_hash bigint, n long")
     counts = counts.groupBy("term", "text_hash").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("having"))
     told = saved(pairs.join(counts, "term").where(exceeds("having")))
@@ -248,7 +248,7 @@ def find(docs: DataFrame, *, posterior: float = 0.2, bits: float = 4.0, support:
     texts = saved(scan.where(F.size("entities") > 0).select("text_hash", "entities", "words").dropDuplicates(["text_hash"]))
     told, names = map(saved, disclosures(texts, docs, copies, posterior=posterior, bits=bits, support=support, elsewhere=elsewhere))
     terms = bloom_of(_term_hashes(told.select("term").distinct()))
-    rows = docs if terms.bits.any() else docs.limit(0)
+    rows = docs if terms.any() else docs.limit(0)
     places = saved(rows.mapInArrow(_places(bloom_of(told.select("text_hash").distinct()), terms, bloom_of(_term_hashes(names))), "uid string, text_hash bigint, term string, start int, stop int"))
     mine = places.join(told, ["text_hash", "term"], "left_semi").unionByName(places.join(names, "term", "left_semi"))
     more = mine.select("uid", "start", "stop").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))

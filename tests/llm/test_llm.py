@@ -1,8 +1,10 @@
 """The ten operators and the pipeline: SQL on the smallest tables, brute force, round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, decontaminate, importance, jaccard_join, language, mixing, pii, quality_rules, queries, shared, substring_dedup, url_filters
+from lodestone.llm import bloom, chat, decontaminate, importance, jaccard_join, language, mixing, pii, quality_rules, queries, shared, substring_dedup, url_filters
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -544,3 +546,19 @@ def test_the_drivers_garbage_is_collected(spark, monkeypatch):
 
     assert not alive(0.0, now - 60)
     assert alive(0.0, now + 3600) and alive(1.0, now - 60)
+
+
+def test_the_driver_holds_filters_and_counts_small(spark):
+    """A filter is sent at a bit a place and answers as before; counts are summed up without a copy of them all at once."""
+    h = np.arange(1, 5_000, dtype=np.int64) * 7_919
+    held = bloom.bloom_of(spark.createDataFrame([(int(x),) for x in h] + [(None,)], "h long"))
+    raw = pickle.dumps(held)
+    assert len(raw) < bloom.BITS // 8 + 1_000 and pickle.loads(raw).may_hold(h.view(np.uint64)).all()
+    assert held.any() and held.may_hold(-h.view(np.uint64)).mean() < 0.01 and not bloom.bloom_of(spark.range(0)).any()
+    docs, labels = (table(spark, name) for name in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        importance.train(docs, labels, 20_000)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
