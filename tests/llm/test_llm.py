@@ -562,3 +562,26 @@ def test_the_driver_holds_filters_and_counts_small(spark):
         assert tracemalloc.get_traced_memory()[1] < 100e6
     finally:
         tracemalloc.stop()
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Filters keep them out of the shuffles; where the filters let everything pass, the joins give the same rows."""
+    draw = random.Random(4)
+    text = lambda: " ".join(f"{draw.getrandbits(64):x}" for _ in range(2_400))
+    base = text()
+    data = [(1, base), (1, base), (2, base), (None, base), (3, base + " tail"), (4, None), (4, None), *((k, text()) for k in range(10, 200))]
+    docs = shared.saved(spark.createDataFrame(data, "doc_id long, text string"))
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max(s.stageId() for s in stages())
+    kept = Counter(jaccard_join.one_of_each(docs).collect())
+    assert kept == Counter([(1, base), *data[5:]])
+    moved = sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+    assert moved < sum(len(t or "") for _, t in data) / 2
+    monkeypatch.setattr(bloom.Bloom, "among", lambda self, hashes: F.lit(True))
+    assert Counter(jaccard_join.one_of_each(docs).collect()) == kept
