@@ -533,6 +533,37 @@ def test_contamination_by_blocks_against_brute_force(spark, block_bytes):
     assert sum(bool(h) for _, h, _ in want.values()) > 25
 
 
+def test_few_edges_take_few_stages(spark):
+    """Components of few edges are one task's work: rounds of shuffles fill the driver, however small they are."""
+    n = 300
+    order = list(range(n))
+    random.Random(5).shuffle(order)
+    edges = [(f"{a:03}".encode(), f"{b:03}".encode()) for a, b in zip(order, order[1:], strict=False) if a % 50 and b % 50]
+    frame = spark.createDataFrame([*edges, (None, b"1"), (b"7", b"7")], "a binary, b binary")
+    before = spark._jsc.sc().dagScheduler().nextStageId()
+    got = {bytes(r.node): bytes(r.component) for r in shared.components(frame).collect()}
+    assert spark._jsc.sc().dagScheduler().nextStageId() - before < 30
+    up = {x: x for e in edges for x in e}
+    for _ in range(n):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == up
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "ONE_TASK", most)
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)]
+    got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert got == up
+
+
 def test_the_drivers_garbage_is_collected(spark, monkeypatch):
     """A JVM object that nothing refers to is gone once a frame is saved and the heap is past the share, and not before."""
     jvm, now = spark._jvm, shared.time.monotonic() if hasattr(shared, "time") else 0.0
