@@ -67,6 +67,30 @@ def test_scopes_and_attributes(spark):
     assert {r.use_id: r.attr_fqn for r in resolution.attributes(uses, symbols, scopes).collect()} == {1: None, 2: "A.go", 3: None, 4: None}
 
 
+def _most_joined(plan):
+    """The most rows that a join of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _most_joined(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _most_joined(plan.plan())
+    rows = plan.metrics().get("numOutputRows")
+    below = [_most_joined(plan.children().apply(i)) for i in range(plan.children().size())]
+    return max([rows.get().value() if "Join" in kind and rows.isDefined() else 0, *below])
+
+
+def test_attributes_of_large_classes(spark):
+    """A class whose attribute is defined by many symbols meets each use once."""
+    n = 300
+    scopes = spark.createDataFrame([("g", None)], "scope string, parent string")
+    members = [("k:A", "go", f"A.{i}", None, i) for i in range(n)] + [("j:A", "go", "first", None, 1), ("j:A", "go", "last", None, 2), ("j:B", "go", "no", None, 9)]
+    symbols = spark.createDataFrame([("g", "x", "x", "A", 1), *members], "scope string, name string, fqn string, type_hint string, ord int")
+    uses = spark.createDataFrame([(i, "g", "x", "go") for i in range(n)], "use_id int, scope string, name string, attr string")
+    out = resolution.attributes(uses, symbols, scopes)
+    assert {r.use_id: r.attr_fqn for r in out.collect()} == dict.fromkeys(range(n), "last")
+    assert _most_joined(out._jdf.queryExecution().executedPlan()) == n
+
+
 def test_scopes_too_deep_are_refused(spark):
     deep = spark.createDataFrame([(f"s{i}", f"s{i - 1}") for i in range(1, 6)], "scope string, parent string")
     symbols = spark.createDataFrame([("s0", "x", "f", None, 1)], "scope string, name string, fqn string, type_hint string, ord int")
