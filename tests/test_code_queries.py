@@ -1,5 +1,7 @@
 """Questions, re-rankings, ordered walks and the knowledge graph on hand-made fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,32 @@ def test_wide_frontiers_reach_the_same(spark, monkeypatch):
     near = rows(graph.bfs(e, at, 4, "both"))
     monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
     assert rows(graph.bfs(e, at, 4, "both")) == near
+
+
+def _stages(spark):
+    return spark._jsc.sc().dagScheduler().nextStageId()
+
+
+def test_long_chains_are_peeled_at_once(spark):
+    """A chain of 120 edges before a cycle, one behind it and one between two cycles, which stays; nulls go."""
+    chain = lambda a, b: list(zip(range(a, b), range(a + 1, b + 1), strict=True))
+    stay = [(120, 121), (121, 120), *chain(121, 140), (140, 140)]
+    edges = [*chain(0, 120), *stay, *chain(140, 260), *chain(1000, 1100), (None, 121), (140, None)]
+    before = _stages(spark)
+    got = graph.cyclic(spark.createDataFrame(edges + stay[:2], "src long, dst long")).collect()
+    assert sorted((r.src, r.dst) for r in got) == sorted(stay)
+    assert _stages(spark) - before < 30
+    assert graph.cyclic(spark.createDataFrame(chain(0, 90), "src long, dst long")).isEmpty()
+
+
+@pytest.mark.parametrize("most", [0, 12])
+def test_cyclic_by_rounds_and_by_one_task(spark, monkeypatch, most):
+    rng = random.Random(4)
+    edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    one = graph.cyclic(frame).collect()
+    monkeypatch.setattr(graph, "PEEL_EDGES", most)
+    while len(left := {e for e in edges if e[0] in {d for _, d in edges} and e[1] in {s for s, _ in edges}}) < len(edges):
+        edges = left
+    for got in (one, graph.cyclic(frame).collect()):
+        assert {tuple(r) for r in got} == edges and len(got) == len(edges) > 0
