@@ -210,3 +210,31 @@ def test_cyclic_by_rounds_and_by_one_task(spark, monkeypatch, most):
         edges = left
     for got in (one, graph.cyclic(frame).collect()):
         assert {tuple(r) for r in got} == edges and len(got) == len(edges) > 0
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 4, 5, 6])
+def test_simple_paths_by_brute_force(spark, longest):
+    rng = random.Random(longest)
+    edges = sorted({(rng.randrange(14), rng.randrange(14), rng.choice("ab")) for _ in range(40)} | {(0, 5, "a"), (0, 5, "b")})
+    sources, targets = [0, 1, 3], [3, 5, 8]
+    want, open_ = [], [[s] for s in sources]
+    while open_:
+        p = open_.pop()
+        if p[-1] in targets:
+            want.append(p)
+        elif len(p) < longest:
+            open_ += [[*p, d] for s, d, _ in edges if s == p[-1] and d not in p]
+    nodes = lambda x: spark.createDataFrame([(n,) for n in x], "node long")
+    got = graph.simple_paths(spark.createDataFrame(edges * 2, "src long, dst long, type string"), nodes(sources), nodes(targets), longest)
+    assert sorted(r.path for r in got.collect()) == sorted(want)
+
+
+def test_simple_paths_walk_only_what_lies_near_both_ends(spark, monkeypatch):
+    """Behind the target is a hub of many nodes, three steps away: no way leads over them, so they aren't walked."""
+    edges = [(0, 1), (1, 2), (2, 3), (10, 3), (11, 10), *((100 + i, 11) for i in range(500))]
+    walked = []
+    monkeypatch.setattr(graph, "kept", lambda df, kept=graph.kept: walked.append(out := kept(df)) or out)
+    frame = spark.createDataFrame([(a, b, "x") for a, b in edges], "src long, dst long, type string")
+    end = lambda n: spark.createDataFrame([(n,)], "node long")
+    assert [r.path for r in graph.simple_paths(frame, end(0), end(3), 5).collect()] == [[0, 1, 2, 3]]
+    assert max(x.count() for x in walked) < 20
